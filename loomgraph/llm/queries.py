@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import chat, chunk_dedup, hash_tree, phrase_index, warc
+from loomgraph.llm import chat, chunk_dedup, hash_tree, phrase_index, pii, warc
 
 QUERIES = {
     f.__name__: f
     for f in (
+        pii.op2_weak_supervision_pii,
         chat.op3_prefix_target,
         phrase_index.op6_positional_index_decontamination,
         warc.op8_content_addressed_warc,
