@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import chat, chunk_dedup, hash_tree, phrase_index, pii, warc
+from loomgraph.llm import chat, chunk_dedup, hash_tree, packing, phrase_index, pii, toxicity, warc
 
 QUERIES = {
     f.__name__: f
     for f in (
         pii.op2_weak_supervision_pii,
         chat.op3_prefix_target,
+        toxicity.op5_nn_pu_toxicity,
         phrase_index.op6_positional_index_decontamination,
+        packing.op7_cost_balanced_packing,
         warc.op8_content_addressed_warc,
         hash_tree.op9_weighted_hash_tree,
         chunk_dedup.op10_chunk_recipe_dedup,
