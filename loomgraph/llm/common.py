@@ -34,6 +34,7 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
+    spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of what is now stored
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -51,4 +52,4 @@ def ascii_lower(text: Column) -> Column:
 
 def size_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of df; exact file sizes for what stored() returned."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
