@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import chat, chunk_dedup, hash_tree, packing, phrase_index, pii, substring_dedup, toxicity, warc
+from loomgraph.llm import chat, chunk_dedup, dart_minhash, hash_tree, packing, phrase_index, pii, substring_dedup, toxicity, warc
 
 QUERIES = {
     f.__name__: f
     for f in (
+        dart_minhash.op1_dart_minhash,
         pii.op2_weak_supervision_pii,
         chat.op3_prefix_target,
         substring_dedup.op4_repeated_phrase_automata,
