@@ -62,9 +62,11 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", hex_digits:
     Other columns of docs, of any name, play no part.
     """
     rows = stored(recipes(docs, key, text, hex_digits), "recipes")
-    groups = rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return rows.join(groups, "recipe").select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
+    groups = rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")
+    many = stored(groups.select(F.lit(True).alias("many"), F.col("recipe").alias("r"), "keep_id", "group_size"), "groups")  # apart, so a hot group's join can be split
+    keep = F.when(F.col("many"), F.col("keep_id")).otherwise(F.col("doc_id"))
+    return rows.join(many, F.col("recipe") == F.col("r"), "left").select(
+        "doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
     )
 
 
