@@ -15,15 +15,16 @@ from pyspark.sql import Window as W
 
 from loomgraph.llm.common import ascii_lower, stored, table
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Words are what stands between these, in lower-cased text and in text as it is.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 13
 #: Anchors that one scan looks up; more of them take more scans. About 100 bytes each.
 BLOCK = 200_000
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(ascii_lower(text), BETWEEN), "")
 
 
 def windows(items: DataFrame, key: str = "item_id", text: str = "text", length: int = WINDOW) -> DataFrame:
@@ -131,7 +132,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     ids = named.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("ids"))
     both = places.select("doc_id", "h", covered.alias("n_hit")).join(ids.withColumnRenamed("doc_id", "d").withColumnRenamed("h", "g"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")))
     both = both.select(F.col("doc_id").alias("hit_id"), F.col("h").alias("hit_h"), "n_hit", "ids")
-    all_docs = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("h"), F.coalesce(F.regexp_count(F.col(text), F.lit(ANY_CASE)), F.lit(0)).cast("long").alias("n_words"))
+    all_docs = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("h"), F.size(F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), BETWEEN_ANY_CASE), "")).cast("long").alias("n_words"))
     hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return all_docs.join(both, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("h") == F.col("hit_h")), "left").select(
         "doc_id",
