@@ -14,7 +14,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,12 +26,13 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import table
 
 #: Bounds of the training sample: confirmed toxic and unlabelled documents.
-POSITIVES, UNLABELLED = 3000, 9000
+POSITIVES, UNLABELLED = 2000, 6000
 #: Hashed features, and the score from which a text counts as toxic.
 SLOTS, THRESHOLD = 1 << 20, 0.3
 #: Words whose weights a worker remembers.
 REMEMBERED = 1_000_000
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WORD = re.compile(BETWEEN.replace("[", "[^"))
 
 
 def distinct_words(text: str | None) -> set[str]:
@@ -76,47 +78,57 @@ def more_often(positive: np.ndarray, other: np.ndarray, slot: np.ndarray, slot_w
     return odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
 
 
-def train(positives: list[set[str]], unlabelled: list[set[str]], prior: float, steps: int = 300, rate: float = 0.05, decay: float = 1e-4, least_z: float = 3.5) -> Model:
-    """Minimise the non-negative risk with Adam, over the slots that positives use more often (by z at least `least_z`).
+def train(docs: Iterable[tuple[int, set[str]]], prior: float, steps: int = 300, rate: float = 0.05, decay: float = 1e-4, least_z: float = 3.5) -> Model:
+    """Minimise the non-negative risk over docs (1 if positive else 0, distinct words) with Adam.
 
+    Only slots that positives use more often, by a z-score of `least_z` at least, get weights.
     Without positives nothing is toxic: the model scores 0 nearly.
     """
-    if not positives or not unlabelled or prior <= 0:
+    at: dict[str, int] = {}
+    slot, sizes, word, n, pos = array("i"), array("i"), array("i"), array("i"), array("b")
+    for positive, words in docs:
+        for w in sorted(words):
+            if w not in at:
+                at[w] = len(at)
+                found = pieces(w)
+                slot.extend(found)
+                sizes.append(len(found))
+            word.append(at[w])
+        n.append(len(words))
+        pos.append(positive)
+    slot, sizes, word, n, pos = (np.frombuffer(x, x.typecode) if x else np.zeros(0, int) for x in (slot, sizes, word, n, pos))
+    many, pos = len(at), pos.astype(bool)
+    if prior <= 0 or pos.all() or not pos.any() or not many:
         return Model(np.zeros(SLOTS, np.float32), -30.0)
-    docs = positives + unlabelled
-    words = sorted(set().union(*docs))
-    at = {w: i for i, w in enumerate(words)}
-    n = np.array([len(d) for d in docs])
-    word = np.fromiter((at[w] for d in docs for w in sorted(d)), np.int32, n.sum())
-    doc = np.repeat(np.arange(len(docs), dtype=np.int32), n)
-    pos = np.arange(len(docs)) < len(positives)
-    slots = [pieces(w) for w in words]
-    slot, slot_word = np.array([s for x in slots for s in x], np.int32), np.repeat(np.arange(len(words), dtype=np.int32), [len(x) for x in slots])
-    telling = more_often(np.bincount(word, pos[doc], len(words)), np.bincount(word, ~pos[doc], len(words)), slot, slot_word) >= least_z
+    slot_word, doc = np.repeat(np.arange(many, dtype=np.int32), sizes), np.repeat(np.arange(len(n), dtype=np.int32), n)
+    telling = more_often(np.bincount(word, pos[doc], many), np.bincount(word, ~pos[doc], many), slot, slot_word) >= least_z
     slot, slot_word = slot[telling[slot]], slot_word[telling[slot]]
+    used, slot = np.unique(slot, return_inverse=True)
     useful = np.isin(word, slot_word)
     word, doc = word[useful], doc[useful]
     scale = 1 / np.sqrt(np.maximum(n, 1))
     prior = min(prior, 0.99)
-    w, b = np.zeros(SLOTS), np.log(prior / (1 - prior))
-    m, v, mb, vb = np.zeros(SLOTS), np.zeros(SLOTS), 0.0, 0.0
+    w, b = np.zeros(len(used)), np.log(prior / (1 - prior))
+    m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     for t in range(1, steps + 1):
-        of_word = np.bincount(slot_word, weights=w[slot], minlength=len(words))
-        g = b + scale * np.bincount(doc, weights=of_word[word], minlength=len(docs))
+        of_word = np.bincount(slot_word, weights=w[slot], minlength=many)
+        g = b + scale * np.bincount(doc, weights=of_word[word], minlength=len(n))
         p = 1 / (1 + np.exp(-np.clip(g, -30, 30)))
         as_negative = np.logaddexp(0, g)
         up, down = prior / pos.sum(), 1 / (~pos).sum()
         bracket = down * as_negative[~pos].sum() - up * as_negative[pos].sum()
         rest = np.where(pos, -up * p, down * p)
         d = np.where(pos, up * (p - 1), 0.0) + rest if bracket >= 0 else -rest
-        of_word = np.bincount(word, weights=(d * scale)[doc], minlength=len(words))
-        dw = np.bincount(slot, weights=of_word[slot_word], minlength=SLOTS) + decay * w
+        of_word = np.bincount(word, weights=(d * scale)[doc], minlength=many)
+        dw = np.bincount(slot, weights=of_word[slot_word], minlength=len(used)) + decay * w
         db = d.sum()
         m, v = 0.9 * m + 0.1 * dw, 0.999 * v + 0.001 * dw * dw
         mb, vb = 0.9 * mb + 0.1 * db, 0.999 * vb + 0.001 * db * db
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-6)
         b -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-6)
-    return Model(w.astype(np.float32), float(b))
+    weights = np.zeros(SLOTS, np.float32)
+    weights[used] = w
+    return Model(weights, float(b))
 
 
 def held_out(key: Column) -> Column:
@@ -137,11 +149,9 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     pos = known.filter("y = 1").select("k").orderBy(order, "k").limit(positives)
     unl = texts.select("k").filter("k is not null").distinct().orderBy(order, "k").limit(unlabelled)
     chosen = pos.withColumn("pos", F.lit(1)).union(unl.withColumn("pos", F.lit(0)))
-    rows = texts.join(F.broadcast(chosen), "k").select("pos", F.array_join(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD.pattern), F.lit(0))), " ").alias("words")).collect()
-    sets: tuple[list, list] = ([], [])
-    for r in sorted((r["pos"], r["words"] or "") for r in rows):
-        sets[r[0]].append(distinct_words(r[1]))
-    return train(sets[1], sets[0], (toxic or 0) / n if n else 0.0)
+    words = F.array_join(F.array_distinct(F.split(F.lower("text"), BETWEEN)), " ")
+    rows = texts.join(F.broadcast(chosen), "k").select("pos", words.alias("words")).orderBy("pos", "words")
+    return train(((r["pos"], distinct_words(r["words"])) for r in rows.toLocalIterator()), (toxic or 0) / n if n else 0.0)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
