@@ -1,10 +1,10 @@
 """Substring dedup with repeated-phrase automata.
 
-Every window of 50 words has one shortest-hash phrase of PHRASE words among its own; equal windows have the same one.
-So a window can only recur where its phrase does. Phrases that stand in two documents at least are confirmed by
-grouping their very texts. Documents are dealt into shards; each shard compiles an Aho-Corasick automaton over the
+Of the phrases of PHRASE words in a window of 50 words, one has the least hash and one the greatest; equal windows
+have the same two, at the same places. So a window can only recur where both do. Phrases that stand in two documents
+at least are confirmed by grouping their very texts. Documents are dealt into shards; each shard compiles an Aho-Corasick automaton over the
 confirmed phrases of its documents and streams those through it, whole texts, to locate every occurrence. Windows
-whose phrase was located are grouped by a 96-bit hash of their words, which gives the first document of each.
+whose two phrases were located are grouped by a 96-bit hash of their words, which gives the first document of each.
 
 Phrases reach a shard only if one of its documents has them, so automata stay as large as a shard, at any input size.
 """
@@ -12,7 +12,6 @@ Phrases reach a shard only if one of its documents has them, so automata stay as
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -24,44 +23,51 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import size_bytes, stored, table
 from loomgraph.llm.hashing import Rolling, U, WordHashes, mix, sliding_min
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-WINDOW, PHRASE = 50, 10
+WINDOW, PHRASE = 50, 8
 #: Bytes of input files that a shard stands for.
 SHARD_BYTES = 8 << 20
 
 
 class Reader:
-    """Words of a text, the hashes of its phrases, and each window's least phrase hash."""
+    """Words of a text (its bytes between ASCII white space), and the two telling phrases of each window."""
 
     def __init__(self, window: int, phrase: int):
         self.window, self.phrase, self.known = window, phrase, WordHashes()
         self.phrases, self.first, self.second = Rolling(0x9E3779B97F4A7C15), Rolling(0xC2B2AE3D27D4EB4F), Rolling(0xD6E8FEB86659FD93)
 
-    def read(self, text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-        words = WORD.findall(text or "")
+    def read(self, text: str | None) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        """words, their hashes (none of a text shorter than a window), the least and the greatest phrase of each window.
+
+        A phrase is given by its position. Positions are the low bits of what is compared, so of equal hashes the
+        first phrase is taken, in every document alike.
+        """
+        words = (text or "").encode().split()
         h = self.known.of(words) if len(words) >= self.window else np.zeros(0, U)
         g = self.phrases.windows(h, self.phrase)
-        return words, h, g, sliding_min(g, self.window - self.phrase + 1)
+        bits = U(max(1, len(g).bit_length()))
+        at = np.arange(len(g), dtype=U)
+        low = (U(1) << max(bits, U(20))) - U(1)
+        n = self.window - self.phrase + 1
+        return words, h, *((sliding_min((x & ~low) | at, n) & low).astype(np.int64) for x in (g, ~g))
 
     def hashes(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return self.first.windows(h, self.window), self.second.windows(mix(h ^ U(0xA5A5A5A5A5A5A5A5)), self.window)
 
 
 def phrases(docs: DataFrame, window: int, phrase: int) -> DataFrame:
-    """(doc_id, phrase): the least-hash phrases of all windows of docs (doc_id, text), each once a document."""
+    """(doc_id, phrase): the telling phrases of all windows of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(window, phrase)
         for b in batches:
             keys, out = [], []
             for k, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                words, _, g, least = reader.read(t.as_py())
-                if k is not None and len(least):
-                    at = np.flatnonzero(np.isin(g, least))
-                    _, one = np.unique(g[at], return_index=True)
-                    out += [" ".join(words[p : p + phrase]) for p in at[one]]
-                    keys += [k] * len(one)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.string())], ["doc_id", "phrase"])
+                words, _, *both = reader.read(t.as_py())
+                if k is not None and len(both[0]):
+                    at = {int(p) for x in both for p in x[np.r_[True, x[1:] != x[:-1]]]}
+                    out += [b" ".join(words[p : p + phrase]) for p in at]
+                    keys += [k] * len(at)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.binary()).cast(pa.string())], ["doc_id", "phrase"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, phrase string")
 
@@ -78,24 +84,27 @@ def shard_of(shards: int):
 
 
 def automaton(found: list[str]) -> ahocorasick.Automaton:
+    """Over bytes, each as one character, so that places are byte offsets."""
     a = ahocorasick.Automaton()
     for p in found:
-        a.add_word(f" {p} ", len(p))
+        key = f" {p.encode().decode('latin-1')} "
+        a.add_word(key, len(key))
     a.make_automaton()
     return a
 
 
-def located(words: list[str], found: ahocorasick.Automaton) -> np.ndarray:
+def located(words: list[bytes], found: ahocorasick.Automaton) -> np.ndarray:
     """The word positions at which the automaton's phrases start."""
-    ends = [(end, n) for end, n in found.iter(f" {' '.join(words)} ")]
-    if not ends:
-        return np.zeros(0, int)
-    starts = np.cumsum([1, *(len(w) + 1 for w in words[:-1])])
-    return np.searchsorted(starts, [end - n for end, n in ends])
+    line = b" " + b" ".join(words) + b" "
+    starts = [end - n + 1 for end, n in found.iter(line.decode("latin-1"))]
+    if not starts:
+        return np.zeros(0, np.int64)
+    blanks = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+    return np.searchsorted(blanks, starts)
 
 
 def windows(docs: DataFrame, found: DataFrame, shards: int, window: int, phrase: int) -> DataFrame:
-    """(h, x, doc_id): hash and position of every window of docs whose phrase is among found (shard, phrase).
+    """(h, x, doc_id): hash and position of every window of docs whose telling phrases are among found (shard, phrase).
 
     x holds 32 more bits of the hash above the position.
     """
@@ -105,11 +114,12 @@ def windows(docs: DataFrame, found: DataFrame, shards: int, window: int, phrase:
         if right.num_rows and left.num_rows:
             reader, spot = Reader(window, phrase), automaton(right.column("phrase").to_pylist())
             for k, t in zip(left.column("doc_id").to_pylist(), left.column("text"), strict=True):
-                words, h, g, least = reader.read(t.as_py())
+                words, h, least, greatest = reader.read(t.as_py())
                 if k is None or not len(least):
                     continue
-                at = located(words, spot)
-                pos = np.flatnonzero(np.isin(least, g[at]))
+                there = np.zeros(len(words), bool)
+                there[located(words, spot)] = True
+                pos = np.flatnonzero(there[least] & there[greatest])
                 if len(pos):
                     a, b = reader.hashes(h)
                     out[0].append(a[pos].view(np.int64))
@@ -146,7 +156,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
         for b in batches:
             out: list[tuple] = []
             for k, t, s in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
-                words = WORD.findall(t.as_py() or "")
+                words = (t.as_py() or "").encode().split()
                 n = len(words)
                 if s.is_valid:
                     at = s.values.to_numpy()
@@ -155,8 +165,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
                     np.add.at(edge, np.minimum(at + window, n), -1)
                     covered = np.cumsum(edge[:n]) > 0
                     words = [w for w, c in zip(words, covered, strict=True) if not c]
-                kept = " ".join(words)
-                out.append((k, n, n - len(words), hashlib.sha256(kept.encode()).hexdigest(), kept)[: len(names)])
+                kept = b" ".join(words)
+                out.append((k, n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode())[: len(names)])
             cols = list(zip(*out, strict=True)) or [()] * len(names)
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, types)], names)
