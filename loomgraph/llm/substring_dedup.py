@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import size_bytes, stored, table
-from loomgraph.llm.hashing import Rolling, U, WordHashes, mix, sliding_min
+from loomgraph.llm.hashing import Rolling, U, mix, sliding_min, word_hashes
 
 WINDOW, PHRASE = 50, 8
 #: Bytes of input files that a shard stands for.
@@ -32,7 +32,7 @@ class Reader:
     """Words of a text (its bytes between ASCII white space), and the two telling phrases of each window."""
 
     def __init__(self, window: int, phrase: int):
-        self.window, self.phrase, self.known = window, phrase, WordHashes()
+        self.window, self.phrase = window, phrase
         self.phrases, self.first, self.second = Rolling(0x9E3779B97F4A7C15), Rolling(0xC2B2AE3D27D4EB4F), Rolling(0xD6E8FEB86659FD93)
 
     def read(self, text: str | None) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
@@ -41,8 +41,9 @@ class Reader:
         A phrase is given by its position. Positions are the low bits of what is compared, so of equal hashes the
         first phrase is taken, in every document alike.
         """
-        words = (text or "").encode().split()
-        h = self.known.of(words) if len(words) >= self.window else np.zeros(0, U)
+        data = (text or "").encode()
+        words = data.split()
+        h = word_hashes(data) if len(words) >= self.window else np.zeros(0, U)
         g = self.phrases.windows(h, self.phrase)
         bits = U(max(1, len(g).bit_length()))
         at = np.arange(len(g), dtype=U)
@@ -147,7 +148,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     found = stored(confirmed(rows, shards, window, phrase), "phrases")
     seen = stored(windows(rows, found, shards, window, phrase), "windows")
     more = F.shiftright("x", 32)
-    first = seen.groupBy("h", more.alias("more")).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
+    first = seen.groupBy("h", more.alias("more")).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
+    first = stored(first, "firsts")
     again = seen.withColumn("more", more).join(first, ["h", "more"]).filter(F.col("doc_id") > F.col("first"))
     gone = stored(again.select(F.col("doc_id").alias("gone_id"), F.col("x").bitwiseAND(0xFFFFFFFF).cast("int").alias("at")).groupBy("gone_id").agg(F.collect_list("at").alias("starts")), "gone")
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: 5 if keep_text else 4]
