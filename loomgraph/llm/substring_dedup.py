@@ -1,10 +1,10 @@
 """Substring dedup with repeated-phrase automata.
 
-Of the phrases of PHRASE words in a window of 50 words, one has the least hash and one the greatest; equal windows
-have the same two, at the same places. So a window can only recur where both do. Phrases that stand in two documents
-at least are confirmed by grouping their very texts. Documents are dealt into shards; each shard compiles an Aho-Corasick automaton over the
+Of the phrases of PHRASE words in a window of 50 words, one has the least hash; equal windows have the same one, at
+the same place. So a window can only recur where its phrase does. Phrases that stand in two documents at least are
+confirmed by grouping their very texts. Documents are dealt into shards; each shard compiles an Aho-Corasick automaton over the
 confirmed phrases of its documents and streams those through it, whole texts, to locate every occurrence. Windows
-whose two phrases were located are grouped by a 96-bit hash of their words, which gives the first document of each.
+whose phrase was located are grouped by a 96-bit hash of their words, which gives the first document of each.
 
 Phrases reach a shard only if one of its documents has them, so automata stay as large as a shard, at any input size.
 """
@@ -23,20 +23,20 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import size_bytes, stored, table
 from loomgraph.llm.hashing import Rolling, U, mix, sliding_min, word_hashes
 
-WINDOW, PHRASE = 50, 8
+WINDOW, PHRASE = 50, 10
 #: Bytes of input files that a shard stands for.
 SHARD_BYTES = 8 << 20
 
 
 class Reader:
-    """Words of a text (its bytes between ASCII white space), and the two telling phrases of each window."""
+    """Words of a text (its bytes between ASCII white space), and the telling phrase of each window."""
 
     def __init__(self, window: int, phrase: int):
         self.window, self.phrase = window, phrase
         self.phrases, self.first, self.second = Rolling(0x9E3779B97F4A7C15), Rolling(0xC2B2AE3D27D4EB4F), Rolling(0xD6E8FEB86659FD93)
 
-    def read(self, text: str | None) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-        """words, their hashes (none of a text shorter than a window), the least and the greatest phrase of each window.
+    def read(self, text: str | None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """words, their hashes (none of a text shorter than a window), and the phrase of least hash of each window.
 
         A phrase is given by its position. Positions are the low bits of what is compared, so of equal hashes the
         first phrase is taken, in every document alike.
@@ -49,7 +49,7 @@ class Reader:
         at = np.arange(len(g), dtype=U)
         low = (U(1) << max(bits, U(20))) - U(1)
         n = self.window - self.phrase + 1
-        return words, h, *((sliding_min((x & ~low) | at, n) & low).astype(np.int64) for x in (g, ~g))
+        return words, h, (sliding_min((g & ~low) | at, n) & low).astype(np.int64)
 
     def hashes(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return self.first.windows(h, self.window), self.second.windows(mix(h ^ U(0xA5A5A5A5A5A5A5A5)), self.window)
@@ -63,9 +63,9 @@ def phrases(docs: DataFrame, window: int, phrase: int) -> DataFrame:
         for b in batches:
             keys, out = [], []
             for k, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                words, _, *both = reader.read(t.as_py())
-                if k is not None and len(both[0]):
-                    at = {int(p) for x in both for p in x[np.r_[True, x[1:] != x[:-1]]]}
+                words, _, least = reader.read(t.as_py())
+                if k is not None and len(least):
+                    at = least[np.r_[True, least[1:] != least[:-1]]].tolist()
                     out += [b" ".join(words[p : p + phrase]) for p in at]
                     keys += [k] * len(at)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.binary()).cast(pa.string())], ["doc_id", "phrase"])
@@ -105,7 +105,7 @@ def located(words: list[bytes], found: ahocorasick.Automaton) -> np.ndarray:
 
 
 def windows(docs: DataFrame, found: DataFrame, shards: int, window: int, phrase: int) -> DataFrame:
-    """(h, x, doc_id): hash and position of every window of docs whose telling phrases are among found (shard, phrase).
+    """(h, x, doc_id): hash and position of every window of docs whose telling phrase is among found (shard, phrase).
 
     x holds 32 more bits of the hash above the position.
     """
@@ -115,12 +115,12 @@ def windows(docs: DataFrame, found: DataFrame, shards: int, window: int, phrase:
         if right.num_rows and left.num_rows:
             reader, spot = Reader(window, phrase), automaton(right.column("phrase").to_pylist())
             for k, t in zip(left.column("doc_id").to_pylist(), left.column("text"), strict=True):
-                words, h, least, greatest = reader.read(t.as_py())
+                words, h, least = reader.read(t.as_py())
                 if k is None or not len(least):
                     continue
                 there = np.zeros(len(words), bool)
                 there[located(words, spot)] = True
-                pos = np.flatnonzero(there[least] & there[greatest])
+                pos = np.flatnonzero(there[least])
                 if len(pos):
                     a, b = reader.hashes(h)
                     out[0].append(a[pos].view(np.int64))
