@@ -1,0 +1,199 @@
+"""Typed analytical requests, lowered to DataFrames that never multiply a fact's rows.
+
+A request names measures, dimensions, filters, a period, conditions on results, an order and a limit. Measures are
+grouped into blocks by fact table; a dimension is reached from the fact over joins to tables that are unique on the
+key, the shortest path in sorted order; blocks meet in a full join on their dimensions.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomgraph.sources.tables import table
+
+GRAINS = ("day", "week", "week_monday", "month", "quarter", "year")
+AGGREGATES = {"sum": F.sum, "count": F.count, "count_distinct": F.count_distinct, "avg": F.avg, "min": F.min, "max": F.max}
+
+
+class Unfit(ValueError):
+    """The request can't be answered from the catalogue."""
+
+
+@dataclass(frozen=True)
+class Join:
+    """left.left_key reaches right, which is unique on right_key; outer keeps rows without a match."""
+
+    left: str
+    left_key: str
+    right: str
+    right_key: str
+    outer: bool = False
+
+
+@dataclass(frozen=True)
+class Filter:
+    column: str
+    op: str
+    value: object = None
+
+
+@dataclass(frozen=True)
+class Measure:
+    """An aggregate of a column of a fact. per: aggregate at that column first, then apply `then` to the results."""
+
+    name: str
+    fact: str
+    agg: str
+    column: str | None = None
+    filters: tuple[Filter, ...] = ()
+    per: str | None = None
+    then: str = "avg"
+
+
+@dataclass(frozen=True)
+class Derived:
+    name: str
+    kind: str  # ratio or difference
+    left: str
+    right: str
+
+
+@dataclass(frozen=True)
+class Dimension:
+    name: str
+    column: str  # table.column
+    grain: str | None = None
+
+
+@dataclass(frozen=True)
+class Request:
+    measures: tuple[Measure, ...] = ()
+    derived: tuple[Derived, ...] = ()
+    dimensions: tuple[Dimension, ...] = ()
+    filters: tuple[Filter, ...] = ()
+    period: tuple[str, str, str] | None = None  # column, first day, last day
+    having: tuple[Filter, ...] = ()
+    order: tuple[tuple[str, bool], ...] = ()  # name, descending
+    limit: int | None = None
+
+
+@dataclass
+class Catalogue:
+    joins: list[Join]
+    hops: int = 4
+    columns: dict[str, list[str]] = field(default_factory=dict)
+
+    def route(self, fact: str, to: str) -> list[Join]:
+        """The shortest chain of joins from fact to a table, neighbours in sorted order."""
+        seen, ways = {fact}, [(fact, [])]
+        for _ in range(self.hops + 1):
+            further = []
+            for at, way in ways:
+                if at == to:
+                    return way
+                for j in sorted((j for j in self.joins if j.left == at), key=lambda j: (j.right, j.left_key)):
+                    if j.right not in seen:
+                        seen.add(j.right)
+                        further.append((j.right, [*way, j]))
+            ways = further
+        raise Unfit(f"{to} can't be reached from {fact} in {self.hops} joins without multiplying rows")
+
+
+def truncated(c: Column, grain: str | None) -> Column:
+    if grain is None:
+        return c
+    if grain not in GRAINS:
+        raise Unfit(f"no grain {grain}")
+    d = F.to_date(c)
+    if grain == "day":
+        return d
+    if grain == "week":
+        return F.date_sub(d, F.dayofweek(d) - 1)
+    return F.to_date(F.date_trunc("week" if grain == "week_monday" else grain, d))
+
+
+def condition(c: Column, f: Filter) -> Column:
+    v = f.value
+    ops = {
+        "=": lambda: c == v, "!=": lambda: c != v, "<": lambda: c < v, "<=": lambda: c <= v, ">": lambda: c > v, ">=": lambda: c >= v,
+        "in": lambda: c.isin(list(v)), "not in": lambda: ~c.isin(list(v)), "between": lambda: c.between(*v), "like": lambda: c.like(v),
+        "is null": c.isNull, "is not null": c.isNotNull,
+    }
+    if f.op not in ops:
+        raise Unfit(f"no operator {f.op}")
+    return ops[f.op]()
+
+
+def split(column: str) -> tuple[str, str]:
+    t, _, c = column.partition(".")
+    if not c:
+        raise Unfit(f"{column} names no table")
+    return t, c
+
+
+def block(spark: SparkSession, sf_dir: str, cat: Catalogue, req: Request, fact: str, measures: list[Measure]) -> DataFrame:
+    """One fact's measures at the request's dimensions, in one aggregation (two for per/then)."""
+    used = [d.column for d in req.dimensions] + [f.column for f in req.filters] + [f.column for m in measures for f in m.filters]
+    used += [req.period[0]] if req.period and split(req.period[0])[0] == fact else []
+    df, held = table(spark, sf_dir, fact), {fact}
+    for t in dict.fromkeys(split(c)[0] for c in used):
+        for j in cat.route(fact, t):
+            if j.right not in held:
+                held.add(j.right)
+                df = df.join(table(spark, sf_dir, j.right), F.col(j.left_key) == F.col(j.right_key), "left" if j.outer else "inner")
+    at = lambda c: F.col(split(c)[1])
+    if req.period:
+        c, a, b = req.period
+        df = df.filter(F.to_date(at(c)).between(F.lit(a).cast("date"), F.lit(b).cast("date")))
+    for f in req.filters:
+        df = df.filter(condition(at(f.column), f))
+    dims = [truncated(at(d.column), d.grain).alias(d.name) for d in req.dimensions]
+    names = [d.name for d in req.dimensions]
+
+    def value(m: Measure) -> Column:
+        if m.agg not in AGGREGATES:
+            raise Unfit(f"no aggregate {m.agg}")
+        arg = F.col(m.column) if m.column else F.lit(1)
+        for f in m.filters:
+            arg = F.when(condition(at(f.column), f), arg)
+        return AGGREGATES[m.agg](arg)
+
+    flat = [m for m in measures if not m.per]
+    parts = [df.groupBy(*dims).agg(*[value(m).alias(m.name) for m in flat])] if flat else []
+    for m in measures:
+        if m.per:
+            one = df.groupBy(*dims, F.col(m.per).alias("__per")).agg(value(m).alias("__v"))
+            parts.append(one.groupBy(*names).agg(AGGREGATES[m.then]("__v").alias(m.name)))
+    return meet(parts, names)
+
+
+def meet(parts: list[DataFrame], names: list[str]) -> DataFrame:
+    return reduce(lambda a, b: a.join(b, names, "full") if names else a.crossJoin(b), parts)
+
+
+def answer(spark: SparkSession, sf_dir: str, cat: Catalogue, req: Request) -> DataFrame:
+    """The request as a DataFrame. Without measures it lists the distinct dimension values of the first one's table."""
+    names = [d.name for d in req.dimensions]
+    out = [*names, *[m.name for m in req.measures], *[d.name for d in req.derived]]
+    if len(set(out)) < len(out):
+        raise Unfit("two results have one name")
+    if not req.measures:
+        df = block(spark, sf_dir, cat, req, split(req.dimensions[0].column)[0], [Measure("__n", "", "count")]).select(*names)
+    else:
+        facts: dict[str, list[Measure]] = {}
+        for m in req.measures:
+            facts.setdefault(m.fact, []).append(m)
+        df = meet([block(spark, sf_dir, cat, req, f, ms) for f, ms in facts.items()], names)
+    for d in req.derived:
+        a, b = F.col(d.left), F.col(d.right)
+        df = df.withColumn(d.name, F.try_divide(a, b) if d.kind == "ratio" else a - b)
+    for f in req.having:
+        df = df.filter(condition(F.col(f.column), f))
+    df = df.select(*out)
+    if req.order:
+        df = df.orderBy(*[F.col(n).desc() if down else F.col(n).asc() for n, down in req.order])
+    return df.limit(req.limit) if req.limit is not None else df
