@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import ascii_lower, stored, table
+from loomgraph.llm.common import ascii_lower, scratch, stored, table
 
 #: A chunk ends after the first full stop or line end past MIN code points, at MAX otherwise.
 MIN, MAX = 512, 4096
@@ -72,7 +72,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", hex_digits:
 
 def kept(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns; of rows that repeat a kept key, one."""
-    stay = dedup(docs, key, text).filter("kept").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    with scratch(docs.sparkSession):
+        stay = stored(dedup(docs, key, text).filter("kept").groupBy("doc_id").agg(F.count("*").alias("rows")), "kept", keep=True)
     left = docs.join(stay.select(F.col("doc_id").alias("__stay")), F.col(key).eqNullSafe(F.col("__stay")), "left_semi")
     return left if stay.filter("rows > 1").isEmpty() else left.dropDuplicates([key])
 

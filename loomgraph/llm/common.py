@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,23 +29,42 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/loomgraph-{spark.sparkContext.applicationId}"
 
 
-def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+_scratch = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What stored() writes inside, but for what it is told to keep, is removed at the end."""
+    held, path = getattr(_scratch, "path", None), f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    _scratch.path = path
+    try:
+        yield
+    finally:
+        _scratch.path = held
+        remove(spark, path)
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage ends there, lost executors cost nothing.
 
-    The folder belongs to the application; release() removes all of it.
+    The folder belongs to the application; release() removes all of it, scratch() what need not outlive it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    top = getattr(_scratch, "path", None)
+    path = f"{top if top and not keep else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
     spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of what is now stored
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Remove every table that stored() wrote in this application; call it once its results are written."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, shared_dir(spark))
 
 
 def ascii_lower(text: Column) -> Column:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import size_bytes, stored, table
+from loomgraph.llm.common import scratch, size_bytes, stored, table
 from loomgraph.llm.hashing import Rolling, U, mix, sliding_min, word_hashes
 
 WINDOW, PHRASE = 50, 10
@@ -145,13 +145,15 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size_bytes(docs) // SHARD_BYTES)
-    found = stored(confirmed(rows, shards, window, phrase), "phrases")
-    seen = stored(windows(rows, found, shards, window, phrase), "windows")
     more = F.shiftright("x", 32)
-    first = seen.groupBy("h", more.alias("more")).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
-    first = stored(first, "firsts")
-    again = seen.withColumn("more", more).join(first, ["h", "more"]).filter(F.col("doc_id") > F.col("first"))
-    gone = stored(again.select(F.col("doc_id").alias("gone_id"), F.col("x").bitwiseAND(0xFFFFFFFF).cast("int").alias("at")).groupBy("gone_id").agg(F.collect_list("at").alias("starts")), "gone")
+    with scratch(spark):
+        found = stored(confirmed(rows, shards, window, phrase), "phrases")
+        seen = stored(windows(rows, found, shards, window, phrase), "windows")
+        held = seen.groupBy("h", more.alias("more")).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+        first = stored(held.filter("first < last").drop("last"), "firsts")
+        again = seen.withColumn("more", more).join(first, ["h", "more"]).filter(F.col("doc_id") > F.col("first"))
+        at = again.select(F.col("doc_id").alias("gone_id"), F.col("x").bitwiseAND(0xFFFFFFFF).cast("int").alias("at"))
+        gone = stored(at.groupBy("gone_id").agg(F.collect_list("at").alias("starts")), "gone", keep=True)
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: 5 if keep_text else 4]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
