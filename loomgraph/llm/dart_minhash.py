@@ -8,14 +8,15 @@ probability of their weighted Jaccard similarity. Ranks are thrown in blocks fro
 dart, so a document of n shingles costs about max(n, k ln k) darts, whatever k.
 
 Bands of ROWS coordinates are joined on their hashes. Equal texts are one node. In a bucket every node is paired with
-a few hubs (the smallest id and the least of two hashes), never with all others; pairs are confirmed by the exact
-Jaccard similarity of their shingle sets, and links are closed to classes. Buckets that still hold several classes
-then pair each node with hubs of the other classes until a round finds nothing new.
+its hub, the smallest id, never with all others; pairs are confirmed by the exact Jaccard similarity of their shingle
+sets, and links are closed to classes. Buckets that still hold several classes then pair each node with hubs of other
+classes, new ones each round, until a round finds no link; a round merges classes by their labels alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import stored, table
+from loomgraph.llm.common import scratch, stored, table
 from loomgraph.llm.hashing import Rolling, U, WordHashes, mix
 
 WORDS, SIMILAR = 5, 0.8
@@ -35,7 +36,6 @@ NONE = np.iinfo(np.uint64).max
 POISSON = np.minimum(np.cumsum([np.exp(-1) / np.prod(np.arange(1.0, i + 1)) for i in range(12)]) * 2.0**64, 2.0**64 - 4096).astype(U)
 #: Cells thrown at once, and shingle sets a worker remembers while confirming pairs.
 CELLS, REMEMBERED = 1 << 20, 256
-ROUNDS = 20
 
 
 class Shingles:
@@ -160,16 +160,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def hub_pairs(buckets: DataFrame) -> DataFrame:
-    """(a, b), a < b: the members of each bucket (band, key, node) with its hubs."""
-    salted = [F.min(F.struct(F.xxhash64("node", F.lit(s)), "node"))["node"] for s in (1, 2)]
-    hubs = buckets.groupBy("band", "key").agg(F.count("*").alias("n"), F.array_distinct(F.array(F.min("node"), *salted)).alias("hubs")).filter("n > 1")
-    met = buckets.join(hubs, ["band", "key"]).select("node", F.explode("hubs").alias("hub")).filter("node <> hub")
+    """(a, b), a < b: the members of each bucket (band, key, node) with its hub, the smallest."""
+    hubs = buckets.groupBy("band", "key").agg(F.min("node").alias("hub"))
+    met = buckets.join(hubs, ["band", "key"]).select("node", "hub").filter("node <> hub")
     return met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
 def cross_pairs(buckets: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     """(a, b), a < b: in buckets that hold several classes, members with a hub of the classes next to theirs."""
-    named = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = buckets.join(labels, "node")
     classes = named.groupBy("band", "key", "label").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node"))["node"].alias("hub"))
     mixed = classes.groupBy("band", "key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("label", F.lit(turn)), "label", "hub")).alias("one"), F.min(F.struct(F.xxhash64("label", F.lit(-turn)), "label", "hub")).alias("two"))
     hubs = mixed.filter("n > 1").select("band", "key", F.explode(F.array("one", "two")).alias("h"))
@@ -186,30 +185,42 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     null class_id. Rows that repeat an id are one document. An empty table gives no rows; other columns play no part.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    with scratch(docs.sparkSession):
+        named = stored(labelled(rows, words, similar, weights), "classes", keep=True)
+    sizes = named.groupBy("class_id").agg(F.count("*").alias("class_size")).withColumnRenamed("class_id", "c").filter("class_size > 1")
+    both = named.join(stored(sizes, "sizes", keep=True), F.col("class_id") == F.col("c"), "left")
+    return both.select("doc_id", "class_id", F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+
+
+def labelled(rows: DataFrame, words: int, similar: float, weights: str) -> DataFrame:
+    """(doc_id, class_id) of rows (doc_id, text)."""
     sig = stored(signed(rows, words, weights), "signatures")
     held = sig.filter("doc_id is not null and copy is not null")
     reps = stored(held.groupBy("copy").agg(F.min(F.struct("doc_id", "bands")).alias("m")).select("copy", F.col("m.doc_id").alias("node"), "m.bands"), "nodes")
     dealt = reps.select("node", F.posexplode("bands").alias("band", "key"))
     texts = rows.filter("doc_id is not null")
     buckets = stored(dealt.join(dealt.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), ["band", "key"]), "buckets")
-    tried = stored(hub_pairs(buckets), "pairs")
-    links = stored(confirmed(tried, texts, words, similar).distinct(), "links")
-    labels = components(links)
-    for turn in range(1, ROUNDS):
-        more = stored(cross_pairs(buckets, labels, turn).join(tried, ["a", "b"], "left_anti"), "pairs")
-        if more.isEmpty():
-            break
-        found = stored(confirmed(more, texts, words, similar).distinct(), "links")
-        tried = tried.union(more)
+    labels = stored(buckets.select("node", F.col("node").alias("label")).distinct(), "labels")
+    tried = pairs = stored(hub_pairs(buckets), "pairs")
+    for turn in count(1):
+        found = stored(confirmed(pairs, texts, words, similar), "links")
         if found.isEmpty():
             break
-        links = links.union(found)
-        labels = components(links)
+        labels = merged(labels, found)
+        pairs = stored(cross_pairs(buckets, labels, turn).join(tried, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            break
+        tried = tried.union(pairs)
     of = reps.select("copy", "node").join(labels, "node", "left").select("copy", F.coalesce("label", "node").alias("class_id"))
-    named = sig.select("doc_id", "copy").join(of, "copy", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
-    sizes = named.groupBy("class_id").agg(F.count("*").alias("class_size")).withColumnRenamed("class_id", "c")
-    both = named.join(sizes, F.col("class_id").eqNullSafe(F.col("c")))
-    return both.select("doc_id", "class_id", F.when(F.col("doc_id").isNull(), F.lit(1)).otherwise(F.col("class_size")).alias("class_size"), F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    return sig.select("doc_id", "copy").join(of, "copy", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, label) after the links (a, b) between nodes; only labels that a link touches are closed anew."""
+    a, b = labels.select(F.col("node").alias("a"), F.col("label").alias("x")), labels.select(F.col("node").alias("b"), F.col("label").alias("y"))
+    edges = links.join(a, "a").join(b, "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    closed = components(stored(edges, "edges")).select(F.col("node").alias("was"), F.col("label").alias("now"))
+    return stored(labels.join(closed, F.col("label") == F.col("was"), "left").select("node", F.coalesce("now", "label").alias("label")), "labels")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
