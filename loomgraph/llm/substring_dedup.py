@@ -80,6 +80,12 @@ def confirmed(docs: DataFrame, shards: int, window: int, phrase: int) -> DataFra
     return held.filter("first < last").select(F.explode("shards").alias("shard"), "phrase")
 
 
+def input_bytes(rows: DataFrame) -> int:
+    """The estimate from file sizes, or half the texts' bytes where Spark has none and says a petabyte or more."""
+    known = size_bytes(rows)
+    return known if known < 1 << 50 else (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 2
+
+
 def shard_of(shards: int):
     return F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")
 
@@ -144,7 +150,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size_bytes(docs) // SHARD_BYTES)
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(rows) // SHARD_BYTES)
     more = F.shiftright("x", 32)
     with scratch(spark):
         found = stored(confirmed(rows, shards, window, phrase), "phrases")
