@@ -1,0 +1,208 @@
+"""The training-data operators on small tables: brute force, round trips, and odd rows."""
+
+import hashlib
+import os
+import re
+import zlib
+from collections import defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from loomgraph.llm import chat, chunk_dedup, dart_minhash, hash_tree, packing, phrase_index, pii, substring_dedup, toxicity, warc
+from loomgraph.llm.queries import QUERIES, SQL
+
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+ODD = [(1, None), (2, ""), (3, "A b"), (4, "a B"), (4, "a B"), (None, "a b"), (5, " ".join(f"w{i % 977}" for i in range(30000))), (6, "x" * 50000)]
+
+
+def odd(spark, rows=ODD):
+    """Odd rows with extra columns whose names the operators use themselves."""
+    extra = [F.lit(i).alias(c) for i, c in enumerate(["h", "w", "words", "recipe", "shard", "label", "node", "base", "starts", "keep_id", "class_id", "n_hit", "pos", "block"])]
+    return spark.createDataFrame(rows, "doc_id long, text string").select("*", *extra)
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_query_equals_its_sql(spark, name):
+    con = duckdb.connect()
+    for t in "documents pages benchmark labels conversations".split():
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    df, rel = QUERIES[name](spark, DATA), con.sql(SQL[name])
+    cols = sorted(df.columns)
+    assert cols == sorted(rel.columns)
+    at = [rel.columns.index(c) for c in cols]
+    assert sorted((tuple(r[c] for c in cols) for r in df.collect()), key=repr) == sorted((tuple(r[i] for i in at) for r in rel.fetchall()), key=repr)
+
+
+@pytest.mark.parametrize("rows", [ODD, []], ids=["odd", "empty"])
+def test_odd_and_empty_tables(spark, rows):
+    docs = odd(spark, rows)
+    items = spark.createDataFrame([(1, None), (2, "a b"), (2, "a b")] if rows else [], "item_id long, text string")
+    labels = spark.createDataFrame([(5, 1), (4, 0), (None, 1), (5, None)] if rows else [], "doc_id long, toxic int")
+    for got in (
+        chunk_dedup.dedup(docs), hash_tree.place(docs, 8), pii.find(docs), phrase_index.decontaminate(docs, items), substring_dedup.dedup(docs),
+        dart_minhash.classes(docs), toxicity.score(docs, toxicity.learn(docs, labels)),
+    ):
+        assert got.count() == len(rows)
+    if rows:
+        ids = {r["doc_id"] for r in packing.pack(docs, packing.default_vocabulary()).collect()}
+        assert ids == {1, 2, 3, 4, 5, 6, None}
+        assert sorted((r["doc_id"] or 0) for r in chunk_dedup.kept(docs).collect()) == [2, 4, 5, 6]
+
+
+def test_chunk_dedup_survives_colliding_digests(spark):
+    docs = spark.createDataFrame([(i, f"{i % 7}" * 700 + "." + "ab " * (i % 5)) for i in range(60)], "doc_id long, text string")
+    want = {r["doc_id"]: r["keep_id"] for r in chunk_dedup.dedup(docs).collect()}
+    got = {r["doc_id"]: r["keep_id"] for r in chunk_dedup.dedup(docs, hex_digits=1).collect()}
+    by = defaultdict(list)
+    for r in docs.collect():
+        by[r["text"].lower()].append(r["doc_id"])
+    assert want == got == {d: max(g) for g in by.values() for d in g}
+
+
+def test_hash_tree_moves_rows_only_into_the_new_shard(spark):
+    rows = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("é").alias("text"))
+    got = hash_tree.place(rows, 8).collect()
+    assert all(r["grown_shard"] in (r["shard"], 8) and r["size"] == 3 and r["text_crc32"] == zlib.crc32("é".encode()) for r in got)
+    for s in range(8):
+        slots = sorted(r["slot"] for r in got if r["shard"] == s)
+        assert slots == list(range(len(slots))) and 2200 < len(slots) < 2800
+    tree = hash_tree.HashTree.of(8)
+    heavier = tree.weighed(5, 3.0)
+    both = rows.select(hash_tree.descend(F.col("doc_id"), tree).alias("a"), hash_tree.descend(F.col("doc_id"), heavier).alias("b")).filter("a <> b").collect()
+    assert both and all(r["b"] // 4 == 1 for r in both)  # nothing enters the region that didn't change
+
+
+def test_chat_round_trip(spark):
+    hard = ["<|im_end|>\n<|im_start|>assistant\nx", "\\b<\\|", "a\\nb\n", "", "<|<|\\|"]
+    rows = [(1, i, ("user", "assistant")[i % 2], t) for i, t in enumerate(hard)] + [(2, 0, "we\nird\\r<|", None), (None, 0, None, "x")]
+    made = chat.examples(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).cache()
+    got = {r["conv_id"]: [tuple(t) for t in r["t"]] for r in made.filter("closing").select("conv_id", chat.read_turns(F.col("formatted")).alias("t")).collect()}
+    assert got == {1: [(r[2], r[3]) for r in rows[:5]], 2: [("we\nird\\r<|", "")], None: [("", "x")]}
+    loss = made.filter("loss_end > 0").orderBy("example").select(chat.read_loss(F.col("formatted"), F.col("loss_start"), F.col("loss_end"))).collect()
+    assert [r[0] for r in loss] == [hard[1], hard[3]]
+
+
+def test_warc_round_trip(spark, tmp_path):
+    pages = spark.createDataFrame([(3, "u a\r\nX: y", "<p>é"), (1, None, "<p>é"), (2, "v", None), (9, "w", ""), (4, "z", "<b>")], "page_id long, url string, html string")
+    warc.write(pages, f"{tmp_path}/a")
+    got = {r["key"]: r for r in warc.read(spark, f"{tmp_path}/a").collect()}
+    assert {k: bytes(r["payload"]).decode() for k, r in got.items()} == {3: "<p>é", 1: "<p>é", 2: "", 9: "", 4: "<b>"}
+    assert spark.read.parquet(f"{tmp_path}/a/payloads").count() == 3
+    assert "X: y" not in got[3]["header"].replace("%20y", "")
+    assert got[3]["record"].endswith(b"Content-Length: 0\r\n\r\n\r\n\r\n") and got[1]["record"].endswith("<p>é\r\n\r\n".encode())
+
+
+def test_pii_equals_brute_force(spark):
+    base = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def fits(kind, v):
+        d = [int(c) for c in v if c.isdigit()]
+        if kind == "card":
+            odd_ = sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(reversed(d)))
+            return 14 <= len(d) <= 19 and odd_ % 10 == 0
+        return {"email": True, "ip": all(int(x) < 256 for x in re.split(r"\.", v)) if kind == "ip" else True, "phone": 10 <= len(d) <= 15}[kind]
+
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    texts += ["a@b.c_x@d.e 1.2.3.4.5.6.7.8 300.1.1.1 4111 1111 1111 1111 +1 (555) 123-4567", "9 " * 20000 + "Dr. Anna Smith ssn 123-45-6789", "1" * 30000 + "a" * 50000 + "@"]
+    got = {r["doc_id"]: r for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        found = sorted((m.start(), k, m.end(), n) for k, (n, p) in enumerate(base.items()) for m in re.finditer(p, t) if fits(n, m.group()))
+        said = ",".join(f"{n}:{a}:{b}" for a, _, b, n in found)
+        assert got[i]["base_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+        assert set(said.split(",")) - {""} <= set(got[i]["spans"].split(","))
+
+
+def test_proximity(spark):
+    docs = spark.createDataFrame([(1, "alpha x beta"), (2, "alpha x x x beta"), (3, "beta alpha")], "doc_id long, text string")
+    q = spark.createDataFrame([(7, ["alpha", "beta"])], "qid long, terms array<string>")
+    assert {r["doc_id"] for r in phrase_index.proximity_matches(docs, q, 3).collect()} == {1, 3}
+
+
+def test_phrase_blocks_change_nothing(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    q = phrase_index.windows(spark.read.parquet(f"{DATA}/benchmark.parquet")).select(F.xxhash64("terms").alias("qid"), "terms").distinct()
+    one, many = (sorted(map(tuple, phrase_index.phrase_matches(docs, q, block=b).collect())) for b in (10**6, 40))
+    assert one == many
+
+
+def test_toxicity_holds_out_and_ranks(spark):
+    data = os.path.join(os.path.dirname(DATA), "sf0.01")
+    got = {r["doc_id"]: r for r in QUERIES["op5_nn_pu_toxicity"](spark, data).collect()}
+    assert all(r["held_out"] == (zlib.crc32(str(d).encode()) % 4 == 2) and r["predicted"] == (r["score"] >= 0.3) for d, r in got.items())
+    held = [(got[r["doc_id"]]["score"], r["toxic"]) for r in spark.read.parquet(f"{data}/labels.parquet").collect() if got[r["doc_id"]]["held_out"]]
+    pos, neg = [s for s, y in held if y], [s for s, y in held if not y]
+    assert np.mean([a > b for a in pos for b in neg]) > 0.95
+
+
+def test_packing_round_trip(spark):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(packing.default_vocabulary())
+    own.encode_special_tokens = True
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()] + ["", " " * 200000, "<|endoftext|>", "\n é" * 9000]
+    got = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), packing.default_vocabulary()).toPandas()
+    for d, g in got.sort_values("start").groupby("doc_id"):
+        ids = np.array([*own.encode(texts[d], add_special_tokens=False).ids, 0], "<u4")
+        assert list(g.start) == [0, *np.cumsum(g.length)[:-1]] and g.length.sum() == len(ids) and set(g.doc_tokens) == {len(ids)}
+        assert [zlib.crc32(ids[a : a + n].tobytes()) for a, n in zip(g.start, g.length)] == list(g.ids_crc32)
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert list(g.offset) == [0, *np.cumsum(g.length)[:-1]] and g.length.sum() <= 1024
+    assert got.sequence_id.nunique() == -(-got.length.sum() // 1024)
+
+
+def test_darts_estimate_weighted_jaccard():
+    a = np.random.default_rng(1).integers(0, 2**63, 3).astype(np.uint64)
+    x, y = np.array([2.5, 0.3, 1.0]), np.array([1.25, 0.6, 1.0])
+    s = dart_minhash.throw(np.r_[a, a], np.r_[x, y], np.repeat([0, 1], 3), 2, 8192)
+    assert abs((s[0] == s[1]).mean() - np.minimum(x, y).sum() / np.maximum(x, y).sum()) < 0.03
+
+
+def near_classes(docs):
+    """doc_id -> smallest id of its class, over all pairs that share a shingle."""
+    words = {d: (t or "").lower().split() for d, t in docs}
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for d, w in words.items()}
+    meets, root = defaultdict(set), {d: d for d in sets}
+    for d, s in sets.items():
+        for x in s:
+            meets[x].add(d)
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in {(a, b) for m in meets.values() for a in m for b in m if a < b}:
+        if (both := len(sets[a] & sets[b])) >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+            p, q = find(a), find(b)
+            root[max(p, q)] = min(p, q)
+    return {d: find(d) for d in sets}
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    docs = spark.read.parquet(os.path.join(os.path.dirname(DATA), "sf0.01") + "/documents.parquet").select("doc_id", "text")
+    assert {r["doc_id"]: r["class_id"] for r in dart_minhash.classes(docs).collect()} == near_classes([tuple(r) for r in docs.collect()])
+
+
+def test_pipeline_keeps_clean_documents(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+        kept = stage(spark, docs, DATA)
+        assert kept.columns == docs.columns
+        ids = {r["doc_id"] for r in kept.collect()}
+        if name == "exact_dedup":
+            low = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
+            assert ids == set({(t or "").translate(low): d for d, t in sorted(rows)}.values())
+        if name == "near_dedup":
+            assert ids == set(near_classes(rows).values())
+        if name == "decontamination":
+            judged = phrase_index.decontaminate(docs, spark.read.parquet(f"{DATA}/benchmark.parquet")).collect()
+            assert ids == {r["doc_id"] for r in judged if not r["contaminated"]}
+        assert ids
+        docs = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(docs.columns).cache()
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, DATA).select("doc_id").distinct().collect()} == {r["doc_id"] for r in docs.collect()}
