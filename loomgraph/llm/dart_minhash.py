@@ -8,7 +8,7 @@ probability of their weighted Jaccard similarity. Ranks are thrown in blocks fro
 dart, so a document of n shingles costs about max(n, k ln k) darts, whatever k.
 
 Bands of ROWS coordinates are joined on their hashes. Equal texts are one node. In a bucket every node is paired with
-its hub, the smallest id, never with all others; pairs are confirmed by the exact Jaccard similarity of their shingle
+three hubs (the smallest id and the least of two hashes), never with all others; pairs are confirmed by the exact Jaccard similarity of their shingle
 sets, and links are closed to classes. Buckets that still hold several classes then pair each node with hubs of other
 classes, new ones each round, until a round finds no link; a round merges classes by their labels alone.
 """
@@ -160,9 +160,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def hub_pairs(buckets: DataFrame) -> DataFrame:
-    """(a, b), a < b: the members of each bucket (band, key, node) with its hub, the smallest."""
-    hubs = buckets.groupBy("band", "key").agg(F.min("node").alias("hub"))
-    met = buckets.join(hubs, ["band", "key"]).select("node", "hub").filter("node <> hub")
+    """(a, b), a < b: the members of each bucket (band, key, node) with its hubs."""
+    salted = [F.min(F.struct(F.xxhash64("node", F.lit(s)), "node"))["node"] for s in (1, 2)]
+    hubs = buckets.groupBy("band", "key").agg(F.array_distinct(F.array(F.min("node"), *salted)).alias("hubs"))
+    met = buckets.join(hubs, ["band", "key"]).select("node", F.explode("hubs").alias("hub")).filter("node <> hub")
     return met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
