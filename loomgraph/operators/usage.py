@@ -80,14 +80,6 @@ def v_measure(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return h.select(hom.alias("homogeneity"), com.alias("completeness")).withColumn("v", 2 * F.col("homogeneity") * F.col("completeness") / (F.col("homogeneity") + F.col("completeness")))
 
 
-def auc(scores: DataFrame, score: str, good: str) -> DataFrame:
-    """The rank-sum AUC; equal scores share their mean rank. Ranks come from counts of each score."""
-    by = scores.groupBy(score).agg(F.count("*").alias("n"), F.sum(F.col(good).cast("long")).alias("g"))
-    ranked = by.withColumn("below", F.sum("n").over(W.orderBy(score)) - F.col("n"))
-    t = ranked.agg(F.sum(F.col("g") * (F.col("below") + (F.col("n") + 1) / 2)).alias("r"), F.sum("g").cast("double").alias("p"), F.sum(F.col("n") - F.col("g")).cast("double").alias("q"))
-    return t.select(((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q"))).alias("auc"))
-
-
 def jaccard_pairs(sets: DataFrame, key: str, item: str, least: float) -> DataFrame:
     """(a, b, jaccard) of keys that share items, a < b."""
     one = sets.select(key, item).distinct()

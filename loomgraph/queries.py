@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomgraph import more_queries
+from loomgraph.operators import ranks as R
 from loomgraph.operators import usage as U
 from loomgraph.plans.requests import Catalogue, Derived, Dimension, Filter, Join, Measure, Request, answer
 from loomgraph.sources.tables import table
@@ -35,6 +37,8 @@ REQUESTS = {
         "SELECT o_custkey AS customer, count(*) AS n_orders FROM orders WHERE o_orderdate::DATE BETWEEN '1996-01-01' AND '1997-12-31' GROUP BY 1 HAVING count(*) >= 3 ORDER BY 2 DESC, 1 LIMIT 20",
     ),
     "i_listing": (Request((), (), (Dimension("segment", "customer.c_mktsegment"), Dimension("nation", "nation.n_name"))), "SELECT DISTINCT c_mktsegment AS segment, n_name AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey"),
+    "i_totals": (Request((ORDERS, LINES), (Derived("lines_per_order", "ratio", "n_lines", "n_orders"),)), "SELECT n_orders, n_lines, n_lines / n_orders AS lines_per_order FROM (SELECT count(*) AS n_orders FROM orders), (SELECT count(*) AS n_lines FROM lineitem)"),
+    "i_count_distinct": (Request((Measure("buyers", "orders", "count_distinct", "o_custkey"), Measure("least", "orders", "min", "o_totalprice"), Measure("most", "orders", "max", "o_totalprice")), (), (REGION, Dimension("year", "orders.o_orderdate", "year"))), f"SELECT r_name AS region, date_trunc('year', o_orderdate)::DATE AS year, count(DISTINCT o_custkey) AS buyers, min(o_totalprice) AS least, max(o_totalprice) AS most {FROM} GROUP BY 1, 2"),
     "i_sunday_weeks": (Request((ORDERS,), (), (Dimension("week", "orders.o_orderdate", "week"),)), "SELECT o_orderdate::DATE - dayofweek(o_orderdate)::INT AS week, count(*) AS n_orders FROM orders GROUP BY 1"),
     "i_quarter_filtered": (Request((SALES,), (), (Dimension("quarter", "orders.o_orderdate", "quarter"),), (Filter("customer.c_mktsegment", "in", ("BUILDING", "MACHINERY")),)), "SELECT date_trunc('quarter', o_orderdate)::DATE AS quarter, sum(o_totalprice) AS sales FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') GROUP BY 1"),
 }
@@ -85,7 +89,7 @@ def o_v_measure(spark, d):
 
 def o_auc(spark, d):
     o = table(spark, d, "lineitem").select(F.col("l_quantity").alias("score"), (F.col("l_returnflag") == "R").alias("good"))
-    return U.auc(o, "score", "good").select(F.round("auc", 6).alias("auc"))
+    return R.auc(o, "score", "good").select(F.round("auc", 6).alias("auc"))
 
 
 def l_jaccard_pairs(spark, d):
@@ -134,3 +138,5 @@ WITH s AS (SELECT DISTINCT user_id, event_type || '/' || day(ts) AS item FROM ev
 p AS (SELECT x.user_id AS a, y.user_id AS b, count(*) AS c FROM s x JOIN s y ON x.item = y.item AND x.user_id < y.user_id GROUP BY 1, 2)
 SELECT a, b, c / (m.n + k.n - c) AS jaccard FROM p JOIN n m ON m.user_id = a JOIN n k ON k.user_id = b WHERE c / (m.n + k.n - c) >= 0.2""",
 }
+QUERIES |= more_queries.QUERIES
+SQL |= more_queries.SQL
