@@ -11,6 +11,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark's setting for dropping shuffle files when an execution ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -52,8 +54,13 @@ def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     spark = df.sparkSession
     top = getattr(_scratch, "path", None)
     path = f"{top if top and not keep else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of what is now stored
+    held = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")  # the shuffle files of what is now stored go when it is written
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, held)
+    spark.sparkContext._jvm.System.gc()  # and those of actions that came before, when Spark's cleaner gets to them
     return spark.read.schema(df.schema).parquet(path)
 
 
