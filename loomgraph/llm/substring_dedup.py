@@ -157,8 +157,10 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
         seen = stored(windows(rows, found, shards, window, phrase), "windows")
         held = seen.groupBy("h", more.alias("more")).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
         first = stored(held.filter("first < last").drop("last"), "firsts")
-        again = seen.withColumn("more", more).join(first, ["h", "more"]).filter(F.col("doc_id") > F.col("first"))
+        known = first.withColumnRenamed("h", "k")
+        again = seen.join(known, (F.col("h") == F.col("k")) & (more == F.col("more"))).filter(F.col("doc_id") > F.col("first"))
         at = again.select(F.col("doc_id").alias("gone_id"), F.col("x").bitwiseAND(0xFFFFFFFF).cast("int").alias("at"))
+        at = at.repartition("gone_id")  # plain rows are half of what partly collected lists would be
         gone = stored(at.groupBy("gone_id").agg(F.collect_list("at").alias("starts")), "gone", keep=True)
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: 5 if keep_text else 4]
 
