@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomgraph import more_queries
+from loomgraph import evidence_queries, more_queries
 from loomgraph.operators import ranks as R
 from loomgraph.operators import usage as U
 from loomgraph.plans.requests import Catalogue, Derived, Dimension, Filter, Join, Measure, Request, answer
@@ -138,5 +138,5 @@ WITH s AS (SELECT DISTINCT user_id, event_type || '/' || day(ts) AS item FROM ev
 p AS (SELECT x.user_id AS a, y.user_id AS b, count(*) AS c FROM s x JOIN s y ON x.item = y.item AND x.user_id < y.user_id GROUP BY 1, 2)
 SELECT a, b, c / (m.n + k.n - c) AS jaccard FROM p JOIN n m ON m.user_id = a JOIN n k ON k.user_id = b WHERE c / (m.n + k.n - c) >= 0.2""",
 }
-QUERIES |= more_queries.QUERIES
-SQL |= more_queries.SQL
+QUERIES |= more_queries.QUERIES | evidence_queries.QUERIES
+SQL |= more_queries.SQL | evidence_queries.SQL
