@@ -79,9 +79,8 @@ def e_stability(spark, d):
 
 
 def e_communities(spark, d):
-    """Customers that order with the same priority on the same day."""
-    o = table(spark, d, "orders").withColumn("basket", F.concat_ws("/", F.to_date("o_orderdate"), "o_orderpriority"))
-    return C.communities(G.coread(o, "basket", "o_custkey"))
+    reads = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return C.communities(G.coread(reads, "l_orderkey", "p_brand"))
 
 
 def f_computations(spark, d):

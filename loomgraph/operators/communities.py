@@ -8,42 +8,44 @@ from pyspark.sql import functions as F
 from loomgraph.sources.shared import stored
 
 
-def _moves(both: DataFrame, total: float, gamma: float, seed: int, rounds: int) -> DataFrame:
+def _moves(both: DataFrame, total: float, gamma: float, seed: int, rounds: int, rest: float) -> DataFrame:
     """(node, c): where nodes come to rest. both (x, y, w) holds each edge in both directions, a loop once with twice its weight.
 
-    In a round only nodes move that a hash of node and round picks, about half: neighbours would swap places for ever.
+    A hash picks the half of the nodes that may move in the first round of a pair, the others may in the second: all at
+    once, neighbours would swap places for ever. It ends when a pair moves no more than a share `rest` of the nodes.
     """
     degree = stored(both.groupBy(F.col("x").alias("node")).agg(F.sum("w").alias("k")), "degrees")
-    at, still = stored(degree.select("node", "k", F.col("node").alias("c")), "places"), 0
+    at, few = stored(degree.select("node", "k", F.col("node").alias("c"), F.lit(False).alias("moved")), "places"), rest * degree.count()
     for r in range(rounds):
         mass = at.groupBy(F.col("c").alias("to")).agg(F.sum("k").alias("mass"))
-        mine = at.filter(F.pmod(F.xxhash64("node", F.lit(seed), F.lit(r)), F.lit(2)) == 0)
+        mine = at.filter(F.pmod(F.xxhash64("node", F.lit(seed), F.lit(r // 2)), F.lit(2)) == r % 2)
         near = both.filter("x <> y").join(at.select(F.col("node").alias("y"), F.col("c").alias("to")), "y").groupBy("x", "to").agg(F.sum("w").alias("w"))
         own = mine.select(F.col("node").alias("x"), F.col("c").alias("to"), F.lit(0.0).alias("w"))
         offers = near.unionByName(own).groupBy("x", "to").agg(F.sum("w").alias("w")).join(mine, F.col("x") == F.col("node")).join(mass, "to")
         gain = F.col("w") - gamma * F.col("k") * (F.col("mass") - F.when(F.col("to") == F.col("c"), F.col("k")).otherwise(0.0)) / total
         scored = offers.select("node", F.struct((-F.round(gain, 9)).alias("g"), (F.col("to") != F.col("c")).alias("other"), "to").alias("s"))
         best = scored.groupBy(F.col("node").alias("n")).agg(F.min("s").alias("s"))
-        new = stored(at.join(best, F.col("node") == F.col("n"), "left").select("node", "k", F.coalesce("s.to", "c").alias("c"), (F.col("s.other")).alias("moved")), "places")
-        still = still + 1 if new.filter("moved").isEmpty() else 0
-        at = new.select("node", "k", "c")
-        if still == 3:
+        moved = F.coalesce("s.other", F.lit(False)) | (F.col("moved") & F.lit(r % 2 == 1))
+        at = stored(at.join(best, F.col("node") == F.col("n"), "left").select("node", "k", F.coalesce("s.to", "c").alias("c"), moved.alias("moved")), "places")
+        if r % 2 and at.filter("moved").count() <= few:
             break
     return at.select("node", "c")
 
 
-def communities(edges: DataFrame, a: str = "a", b: str = "b", weight: str = "n", gamma: float = 1.0, seed: int = 42, rounds: int = 30, levels: int = 5) -> DataFrame:
+def communities(edges: DataFrame, a: str = "a", b: str = "b", weight: str = "n", gamma: float = 1.0, seed: int = 42, rounds: int = 12, levels: int = 4, rest: float = 0.01) -> DataFrame:
     """(node, community): nodes of weighted edges grouped so that more weight lies inside than chance has; named by their least node.
 
-    Nodes are moved, then each community counts as one node, until none moves. Equal gains go to the own community,
-    then to the least: a seed gives the same groups on every run. Edges with a null end or a weight of 0 or less are none.
+    Nodes are moved, then each community counts as one node, until none moves or `levels` are done; a level takes
+    `rounds` rounds at most and ends when two in a row move no more than a share `rest` of its nodes. Equal gains go to
+    the own community, then to the least: a seed gives the same groups on every run. Edges with a null end or a weight
+    of 0 or less are none.
     """
     flat = edges.select(F.col(a).alias("x"), F.col(b).alias("y"), F.col(weight).cast("double").alias("w")).dropna().filter("w > 0")
     both = stored(flat.union(flat.select("y", "x", "w")).groupBy("x", "y").agg(F.sum("w").alias("w")), "graph")
     total = both.agg(F.sum("w")).first()[0]
     place = both.select(F.col("x").alias("node"), F.col("x").alias("community")).distinct()
     for _ in range(levels if total else 0):
-        moved = _moves(both, total, gamma, seed, rounds)
+        moved = _moves(both, total, gamma, seed, rounds, rest)
         if moved.filter("node <> c").isEmpty():
             break
         place = stored(place.join(moved.withColumnRenamed("node", "community"), "community").select("node", F.col("c").alias("community")), "communities")
