@@ -10,7 +10,9 @@ dart, so a document of n shingles costs about max(n, k ln k) darts, whatever k.
 Bands of ROWS coordinates are joined on their hashes. Equal texts are one node. In a bucket every node is paired with
 three hubs (the smallest id and the least of two hashes), never with all others; pairs are confirmed by the exact Jaccard similarity of their shingle
 sets, and links are closed to classes. Buckets that still hold several classes then pair each node with hubs of other
-classes, new ones each round, until a round finds no link; a round merges classes by their labels alone.
+classes, new ones each round, until a round finds no link; a round merges classes by their labels alone. At last every
+pair of different classes that still shares a bucket is confirmed, in blocks of a bucket's salted groups: a pair that
+shares a band is in one class, or was compared.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ NONE = np.iinfo(np.uint64).max
 POISSON = np.minimum(np.cumsum([np.exp(-1) / np.prod(np.arange(1.0, i + 1)) for i in range(12)]) * 2.0**64, 2.0**64 - 4096).astype(U)
 #: Cells thrown at once, and shingle sets a worker remembers while confirming pairs.
 CELLS, REMEMBERED = 1 << 20, 256
+#: Members of a salted group; two groups of a bucket are compared at once. Members dealt out in one pass, if nodes are fewer.
+GROUP, LEAST_PASS = 256, 10_000
 
 
 class Shingles:
@@ -177,6 +181,96 @@ def cross_pairs(buckets: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     return met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
+def block_links(members: DataFrame, words: int, similar: float) -> DataFrame:
+    """The similar pairs (a, b) of different labels, a < b, of members (band, key, i, j, salt, node, label, bands, text).
+
+    A block is all rows of a (band, key, i, j): group i of a bucket against its group j; salt is a member's own group.
+    Pairs that share an earlier band are left to that one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, held, last = Shingles(words), [], None
+
+        def links() -> Iterator[tuple[int, int]]:
+            band, alone = last[0], last[3]
+            first = np.array([m[0] for m in held], bool)
+            node, label = (np.array([m[c] for m in held], np.int64) for c in (1, 2))
+            keys, sets = np.array([m[3] for m in held], np.int64), [m[4] for m in held]
+            size, left = np.array([len(s) for s in sets]), np.flatnonzero(first)
+            right = left if alone else np.flatnonzero(~first)
+            for x in left:
+                y = right[right > x] if alone else right
+                y = y[(label[y] != label[x]) & (node[y] != node[x])]
+                y = y[np.minimum(size[y], size[x]) >= similar * np.maximum(size[y], size[x])]
+                y = y[(keys[y] == keys[x]).argmax(axis=1) == band]
+                for z in y:
+                    both = len(np.intersect1d(sets[x], sets[z], assume_unique=True))
+                    if both >= similar * (size[x] + size[z] - both):
+                        yield min(node[x], node[z]), max(node[x], node[z])
+
+        def batch() -> pa.RecordBatch:
+            found = list(links())
+            return pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in (0, 1)], ["a", "b"])
+
+        for b in batches:
+            block = list(zip(*(b.column(c).to_pylist() for c in range(4)), strict=True))
+            of = [b.column(c).to_pylist() for c in range(4, 8)]
+            for n, at in enumerate(block):
+                if at != last:
+                    if held:
+                        yield batch()
+                    held, last = [], at
+                held.append((*(c[n] for c in of), np.unique(shingles.of(b.column(8)[n].as_py())[1])))
+        if held:
+            yield batch()
+
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = ["band", "key", "i", "j"]
+    block = members.withColumn("alone", F.col("i") == F.col("j")).withColumn("salt", F.col("salt") == F.col("i"))
+    block = block.withColumn("groups", F.to_json(F.struct("i", "j")))
+    dealt = block.repartition(n, *at).sortWithinPartitions(*at)
+    return dealt.select("band", "key", "groups", "alone", "salt", "node", "label", "bands", "text").mapInArrow(run, "a long, b long")
+
+
+def settled(labels: DataFrame, buckets: DataFrame, reps: DataFrame, texts: DataFrame, words: int, similar: float) -> DataFrame:
+    """labels after all pairs of different labels that share a bucket are compared.
+
+    A bucket's classes of over GROUP members have groups of their own, which never meet each other; the others share
+    groups. A pass deals out about as many members as there are nodes at most, and later ones leave out buckets that
+    have become one class.
+    """
+    at, named = ["band", "key"], buckets.join(labels, "node")
+    each = named.groupBy(*at, "label").agg(F.count("*").alias("n"))
+    part = F.struct((F.col("n") > GROUP).alias("big"), F.when(F.col("n") > GROUP, F.col("label")).otherwise(0).alias("of")).alias("part")
+    each = stored(each.select(*at, "label", "n", part), "classes")
+    mixed = each.groupBy(*at).agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    shares = each.groupBy(*at, "part").agg(F.ceil(F.sum("n") / GROUP).cast("int").alias("m"), F.sum("n").alias("n"))
+    parts = stored(shares.join(mixed, at).groupBy(*at).agg(F.collect_list(F.struct("part", "m", "n")).alias("parts")), "parts")
+    met = F.aggregate("parts", F.lit(0).cast("long"), lambda a, x: a + x["n"] * F.aggregate("parts", F.lit(0), lambda c, y: c + F.when(x["part"]["big"] & (x["part"] == y["part"]), 0).otherwise(y["m"])))
+    passes = -(-(parts.agg(F.sum(met)).first()[0] or 0) // max(LEAST_PASS, reps.count()))
+    big = each.filter("part.big").select(*at, F.col("label").alias("first_label"), F.col("part").alias("own"))
+    first = labels.withColumnRenamed("label", "first_label")
+    for p in range(passes):
+        held = parts
+        if p:
+            named = buckets.join(labels, "node")
+            held = parts.join(named.groupBy(*at).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select(*at), at)
+        members = buckets.join(held, at).join(first, "node").join(big, [*at, "first_label"], "left")
+        members = members.withColumn("own", F.coalesce("own", F.struct(F.lit(False).alias("big"), F.lit(0).cast("long").alias("of"))))
+        members = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.filter("parts", lambda x: x["part"] == F.col("own"))[0]["m"]).cast("int"))
+        others = F.filter("parts", lambda x: ~F.col("own.big") | (x["part"] != F.col("own")))
+        groups = F.flatten(F.transform(others, lambda x: F.transform(F.sequence(F.lit(0), x["m"] - 1), lambda t: F.struct(x["part"].alias("part"), t.alias("salt")))))
+        mine = F.struct(F.col("own").alias("part"), F.col("salt"))
+        dealt = members.select(*at, "node", mine.alias("me"), F.explode(groups).alias("other"))
+        dealt = dealt.select(*at, F.least("me", "other").alias("i"), F.greatest("me", "other").alias("j"), F.col("me").alias("salt"), "node")
+        dealt = dealt.filter(F.pmod(F.xxhash64(*at, "i", "j"), F.lit(passes)) == p).join(labels, "node")
+        whole = dealt.join(reps.select("node", "bands"), "node").join(texts.select(F.col("doc_id").alias("node"), "text"), "node")
+        found = stored(block_links(whole, words, similar), "links")
+        if not found.isEmpty():
+            labels = merged(labels, found)
+    return labels
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, similar: float = SIMILAR, weights: str = "set") -> DataFrame:
     """Per row: doc_id, class_id, class_size, kept.
 
@@ -212,6 +306,7 @@ def labelled(rows: DataFrame, words: int, similar: float, weights: str) -> DataF
         if pairs.isEmpty():
             break
         tried = tried.union(pairs)
+    labels = settled(labels, buckets, reps, texts, words, similar)
     of = reps.select("copy", "node").join(labels, "node", "left").select("copy", F.coalesce("label", "node").alias("class_id"))
     return sig.select("doc_id", "copy").join(of, "copy", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 

@@ -186,6 +186,20 @@ def test_near_duplicates_equal_brute_force(spark):
     assert {r["doc_id"]: r["class_id"] for r in dart_minhash.classes(docs).collect()} == near_classes([tuple(r) for r in docs.collect()])
 
 
+@pytest.mark.parametrize("group", [256, 8])
+def test_near_duplicates_of_a_template_family_equal_brute_force(spark, monkeypatch, group):
+    monkeypatch.setattr(dart_minhash, "GROUP", group)
+    monkeypatch.setattr(dart_minhash, "LEAST_PASS", 400)
+    template = " ".join(f"t{i}" for i in range(404))
+    own = lambda d, n, p="w": " ".join(f"d{d}{p}{i}" for i in range(n))
+    docs = [(d, f"{template} {own(d, 56)}") for d in range(60)]  # similar by 0.78, but for the planted pairs: 0.81
+    docs += [(100 + d, f"{template} {own(d, 8)} {own(d, 48, 'x')}") for d in range(30, 50)]
+    want = near_classes(docs)
+    assert all(want[100 + d] == d for d in range(30, 50)) and len(set(want.values())) == 60
+    got = dart_minhash.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == want
+
+
 def test_pipeline_keeps_clean_documents(spark):
     import corpus_pipeline
 
