@@ -29,8 +29,8 @@ from loomgraph.llm.common import table
 POSITIVES, UNLABELLED = 2000, 6000
 #: Hashed features, and the score from which a text counts as toxic.
 SLOTS, THRESHOLD = 1 << 20, 0.3
-#: Words whose weights a worker remembers.
-REMEMBERED = 1_000_000
+#: Words whose weights a worker remembers, if they are no longer than LONG; past it, each STEP characters count as a word.
+REMEMBERED, LONG, STEP = 1_000_000, 64, 8
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = re.compile(BETWEEN.replace("[", "[^"))
 
@@ -40,12 +40,17 @@ def distinct_words(text: str | None) -> set[str]:
 
 
 def pieces(word: str) -> list[int]:
-    """Slots of a word: itself, and the four- and five-letter pieces of it with its ends marked."""
-    w = f"^{word[:64]}$"
+    """Slots of a word: itself, and the four- and five-letter pieces of all of it with its ends marked."""
+    w = f"^{word}$"
     parts = {w, *(w[i : i + n] for n in (4, 5) for i in range(max(1, len(w) - n + 1)))}
     return [zlib.crc32(p.encode()) % SLOTS for p in sorted(parts)]
 
 
+def length(words: Iterable[str]) -> int:
+    """How many words these count as: an unbroken run, as of a script without spaces, is as long as a text of its size."""
+    return sum(1 + -(-max(0, len(w) - LONG) // STEP) for w in words)
+
+
 @dataclass
 class Model:
     weights: np.ndarray
@@ -56,16 +61,18 @@ class Model:
 
         class Weights(dict):
             def __missing__(self, word: str) -> float:
-                if len(self) >= REMEMBERED:
-                    self.clear()
-                w = self[word] = float(weights[pieces(word)].sum())
+                w = float(weights[pieces(word)].sum())
+                if len(word) <= LONG:
+                    if len(self) >= REMEMBERED:
+                        self.clear()
+                    self[word] = w
                 return w
 
         known = Weights()
 
         def score(text: str | None) -> float:
             words = distinct_words(text)
-            g = bias + sum(map(known.__getitem__, words)) / max(1, len(words)) ** 0.5
+            g = bias + sum(map(known.__getitem__, words)) / max(1, length(words)) ** 0.5
             return float(1 / (1 + np.exp(-np.clip(g, -30, 30))))
 
         return score
@@ -85,7 +92,7 @@ def train(docs: Iterable[tuple[int, set[str]]], prior: float, steps: int = 300,
     Without positives nothing is toxic: the model scores 0 nearly.
     """
     at: dict[str, int] = {}
-    slot, sizes, word, n, pos = array("i"), array("i"), array("i"), array("i"), array("b")
+    slot, sizes, word, n, pos, size = array("i"), array("i"), array("i"), array("i"), array("b"), array("i")
     for positive, words in docs:
         for w in sorted(words):
             if w not in at:
@@ -95,8 +102,9 @@ def train(docs: Iterable[tuple[int, set[str]]], prior: float, steps: int = 300,
                 sizes.append(len(found))
             word.append(at[w])
         n.append(len(words))
+        size.append(length(words))
         pos.append(positive)
-    slot, sizes, word, n, pos = (np.frombuffer(x, x.typecode) if x else np.zeros(0, int) for x in (slot, sizes, word, n, pos))
+    slot, sizes, word, n, pos, size = (np.frombuffer(x, x.typecode) if x else np.zeros(0, int) for x in (slot, sizes, word, n, pos, size))
     many, pos = len(at), pos.astype(bool)
     if prior <= 0 or pos.all() or not pos.any() or not many:
         return Model(np.zeros(SLOTS, np.float32), -30.0)
@@ -106,7 +114,7 @@ def train(docs: Iterable[tuple[int, set[str]]], prior: float, steps: int = 300,
     used, slot = np.unique(slot, return_inverse=True)
     useful = np.isin(word, slot_word)
     word, doc = word[useful], doc[useful]
-    scale = 1 / np.sqrt(np.maximum(n, 1))
+    scale = 1 / np.sqrt(np.maximum(size, 1))
     prior = min(prior, 0.99)
     w, b = np.zeros(len(used)), np.log(prior / (1 - prior))
     m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0

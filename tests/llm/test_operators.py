@@ -137,6 +137,17 @@ def test_toxicity_holds_out_and_ranks(spark):
     assert np.mean([a > b for a in pos for b in neg]) > 0.95
 
 
+def test_toxicity_reads_all_of_an_unbroken_run():
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(map(chr, rng.integers(97, 123, 6)))
+    docs = [(i % 4 == 0, {word() for _ in range(30)} | ({"grubwort", "vilespit"} if i % 4 == 0 else set())) for i in range(800)]
+    score = toxicity.train(docs, 0.1).scorer()
+    run = lambda n: "".join(map(chr, rng.integers(0x4E00, 0x9FA5, n)))
+    for n in (10, 64, 100, 300):
+        assert score(run(n) + "grubwort\u00a0vilespit" + run(30)) >= toxicity.THRESHOLD > score(run(n + 50))
+    assert score(run(20000)) < toxicity.THRESHOLD
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
