@@ -2,50 +2,84 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.sources.shared import stored
 
 
-def _moves(both: DataFrame, total: float, gamma: float, seed: int, rounds: int, rest: float) -> DataFrame:
+def _offers(both: DataFrame, at: DataFrame, mine: DataFrame, total: float, gamma: float) -> DataFrame:
+    """(n, to, d) for those nodes of mine (node, k, c) that gain d > 0 by a move to the best community of a neighbour."""
+    mass = at.groupBy(F.col("c").alias("to")).agg(F.sum("k").alias("mass"))
+    near = both.filter("x <> y").join(at.select(F.col("node").alias("y"), F.col("c").alias("to")), "y").groupBy("x", "to").agg(F.sum("w").alias("w"))
+    own = mine.select(F.col("node").alias("x"), F.col("c").alias("to"), F.lit(0.0).alias("w"))
+    offers = near.unionByName(own).groupBy("x", "to").agg(F.sum("w").alias("w")).join(mine, F.col("x") == F.col("node")).join(mass, "to")
+    gain = F.round(F.col("w") - gamma * F.col("k") * (F.col("mass") - F.when(F.col("to") == F.col("c"), F.col("k")).otherwise(0.0)) / total, 9)
+    other = F.col("to") != F.col("c")
+    best = offers.groupBy(F.col("node").alias("n")).agg(F.min(F.struct((-gain).alias("g"), other.alias("other"), "to")).alias("s"), F.max(F.when(~other, gain)).alias("stay"))
+    return best.filter("s.other").select("n", "s.to", (-F.col("s.g") - F.col("stay")).alias("d"))
+
+
+def _after(at: DataFrame, offers: DataFrame) -> DataFrame:
+    """at (node, k, c, moved) after all of these moves at once."""
+    both = at.join(offers.select("n", "to"), F.col("node") == F.col("n"), "left")
+    return stored(both.select("node", "k", F.coalesce("to", "c").alias("c"), (F.col("moved") | F.col("n").isNotNull()).alias("moved")), "places")
+
+
+def _apart(at: DataFrame, offers: DataFrame) -> DataFrame:
+    """The offers that are the best of both communities they touch: no two touch the same one, so their gains add up."""
+    each = offers.join(at.select(F.col("node").alias("n"), "c"), "n").select("n", "c", "to", F.struct("d", "n").alias("s"))
+    top = stored(each.select(F.explode(F.array("c", "to")).alias("t"), "s").groupBy("t").agg(F.max("s").alias("top")), "best")
+    mine = each.join(top.select(F.col("t").alias("c"), F.col("top").alias("p")), "c").join(top.select(F.col("t").alias("to"), F.col("top").alias("q")), "to")
+    return mine.filter("s = p and s = q").select("n", "to")
+
+
+def _modularity(both: DataFrame, at: DataFrame, total: float, gamma: float) -> float:
+    x, y = at.select(F.col("node").alias("x"), F.col("c").alias("cx")), at.select(F.col("node").alias("y"), F.col("c").alias("cy"))
+    inside = both.join(x, "x").join(y, "y").filter("cx = cy").agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("inside"))
+    chance = at.groupBy("c").agg(F.sum("k").alias("k")).agg(F.sum(F.col("k") * F.col("k")).alias("chance"))
+    inside, chance = inside.crossJoin(chance).first()
+    return inside / total - gamma * chance / total**2
+
+
+def _moves(both: DataFrame, total: float, gamma: float, seed: int) -> DataFrame:
     """(node, c): where nodes come to rest. both (x, y, w) holds each edge in both directions, a loop once with twice its weight.
 
     A hash picks the half of the nodes that may move in the first round of a pair, the others may in the second: all at
-    once, neighbours would swap places for ever. It ends when a pair moves no more than a share `rest` of the nodes.
+    once, neighbours would swap places for ever. A pair that does not raise modularity is replaced by a round of moves
+    that touch different communities, which does; so it ends, and only when no node gains by a move.
     """
-    degree = stored(both.groupBy(F.col("x").alias("node")).agg(F.sum("w").alias("k")), "degrees")
-    at, few = stored(degree.select("node", "k", F.col("node").alias("c"), F.lit(False).alias("moved")), "places"), rest * degree.count()
-    for r in range(rounds):
-        mass = at.groupBy(F.col("c").alias("to")).agg(F.sum("k").alias("mass"))
-        mine = at.filter(F.pmod(F.xxhash64("node", F.lit(seed), F.lit(r // 2)), F.lit(2)) == r % 2)
-        near = both.filter("x <> y").join(at.select(F.col("node").alias("y"), F.col("c").alias("to")), "y").groupBy("x", "to").agg(F.sum("w").alias("w"))
-        own = mine.select(F.col("node").alias("x"), F.col("c").alias("to"), F.lit(0.0).alias("w"))
-        offers = near.unionByName(own).groupBy("x", "to").agg(F.sum("w").alias("w")).join(mine, F.col("x") == F.col("node")).join(mass, "to")
-        gain = F.col("w") - gamma * F.col("k") * (F.col("mass") - F.when(F.col("to") == F.col("c"), F.col("k")).otherwise(0.0)) / total
-        scored = offers.select("node", F.struct((-F.round(gain, 9)).alias("g"), (F.col("to") != F.col("c")).alias("other"), "to").alias("s"))
-        best = scored.groupBy(F.col("node").alias("n")).agg(F.min("s").alias("s"))
-        moved = F.coalesce("s.other", F.lit(False)) | (F.col("moved") & F.lit(r % 2 == 1))
-        at = stored(at.join(best, F.col("node") == F.col("n"), "left").select("node", "k", F.coalesce("s.to", "c").alias("c"), moved.alias("moved")), "places")
-        if r % 2 and at.filter("moved").count() <= few:
-            break
-    return at.select("node", "c")
+    at = stored(both.groupBy(F.col("x").alias("node")).agg(F.sum("w").alias("k")).select("node", "k", F.col("node").alias("c"), F.lit(False).alias("moved")), "places")
+    best = _modularity(both, at, total, gamma)
+    for r in count():
+        start = now = at.withColumn("moved", F.lit(False))
+        for half in (0, 1):
+            mine = now.filter(F.pmod(F.xxhash64("node", F.lit(seed), F.lit(r)), F.lit(2)) == half)
+            now = _after(now, _offers(both, now, mine, total, gamma))
+        if now.filter("moved").isEmpty():
+            return at.select("node", "c")
+        got = _modularity(both, now, total, gamma)
+        if got <= best + 1e-12:
+            now = _after(start, _apart(start, stored(_offers(both, start, start, total, gamma), "offers")))
+            got = _modularity(both, now, total, gamma)
+        at, best = now, got
 
 
-def communities(edges: DataFrame, a: str = "a", b: str = "b", weight: str = "n", gamma: float = 1.0, seed: int = 42, rounds: int = 12, levels: int = 4, rest: float = 0.01) -> DataFrame:
+def communities(edges: DataFrame, a: str = "a", b: str = "b", weight: str = "n", gamma: float = 1.0, seed: int = 42, levels: int | None = None) -> DataFrame:
     """(node, community): nodes of weighted edges grouped so that more weight lies inside than chance has; named by their least node.
 
-    Nodes are moved, then each community counts as one node, until none moves or `levels` are done; a level takes
-    `rounds` rounds at most and ends when two in a row move no more than a share `rest` of its nodes. Equal gains go to
-    the own community, then to the least: a seed gives the same groups on every run. Edges with a null end or a weight
-    of 0 or less are none.
+    Nodes are moved until none gains by it, then each community counts as one node, until none of these moves or
+    `levels`, if given, are done. Equal gains go to the own community, then to the least: a seed gives the same groups
+    on every run. Edges with a null end or a weight of 0 or less are none.
     """
     flat = edges.select(F.col(a).alias("x"), F.col(b).alias("y"), F.col(weight).cast("double").alias("w")).dropna().filter("w > 0")
     both = stored(flat.union(flat.select("y", "x", "w")).groupBy("x", "y").agg(F.sum("w").alias("w")), "graph")
     total = both.agg(F.sum("w")).first()[0]
     place = both.select(F.col("x").alias("node"), F.col("x").alias("community")).distinct()
-    for _ in range(levels if total else 0):
-        moved = _moves(both, total, gamma, seed, rounds, rest)
+    for _ in (count() if levels is None else range(levels)) if total else ():
+        moved = _moves(both, total, gamma, seed)
         if moved.filter("node <> c").isEmpty():
             break
         place = stored(place.join(moved.withColumnRenamed("node", "community"), "community").select("node", F.col("c").alias("community")), "communities")

@@ -35,6 +35,22 @@ def test_communities_gain_modularity_over_none(spark):
     assert score(place) > max(0.2, score({x: x for x in k}))
 
 
+def test_communities_leave_no_node_that_gains_by_a_move(spark):
+    edges = [(i, (i * 13 + 7 * j) % 400, 1 + (i * j) % 4) for i in range(400) for j in (1, 2, 3, 5) if i != (i * 13 + 7 * j) % 400]
+    place = dict(map(tuple, C.communities(spark.createDataFrame(edges, "a int, b int, n int"), levels=1).collect()))
+    total, k, to, mass = 2 * sum(w for *_, w in edges), {}, {}, {}
+    for x, y, w in (e for a, b, n in edges for e in ((a, b, n), (b, a, n))):
+        k[x] = k.get(x, 0) + w
+        to.setdefault(x, {}).setdefault(place[y], 0)
+        to[x][place[y]] += w
+    for x in k:
+        mass[place[x]] = mass.get(place[x], 0) + k[x]
+    assert len(k) == 400
+    for x, near in to.items():
+        stay = near.get(place[x], 0) - k[x] * (mass[place[x]] - k[x]) / total
+        assert all(w - k[x] * mass[c] / total <= stay + 1e-6 for c, w in near.items() if c != place[x])
+
+
 def test_streams_give_what_tables_give(spark, tmp_path):
     begin = datetime.datetime(2024, 1, 1)
     rows = [(begin + datetime.timedelta(minutes=17 * i + (i % 9 == 0) * 90), f"k{i % 3}", float(i), i % 4) for i in range(300)] + [(None, "k0", 1.0, 1)]
