@@ -72,20 +72,23 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", h
     records = named.join(firsts, "digest").withColumn("kind", F.when(revisit, "revisit").otherwise("response"))
     parts = [F.col(c) for c in ("key", "url", "kind", "first", "sha1", "length")]
     records.select("key", "digest", header(*parts, date).alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
-    again = records.filter(revisit).select(F.col("key").alias("again")).distinct()
-    keep = pages.select(F.col(key).alias("key"), body.alias("payload")).join(again, F.col("key") == F.col("again"), "left_anti")
-    keep.groupBy(F.sha2("payload", 256).alias("digest"), "payload").count().select("digest", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
+    again = records.filter(revisit).select(F.col("key").alias("again"), F.col("digest").alias("of")).distinct()
+    bodies = pages.select(F.col(key).alias("key"), F.sha2(body, 256).alias("digest"), body.alias("payload"))
+    keep = bodies.join(again, (F.col("key") == F.col("again")) & (F.col("digest") == F.col("of")), "left_anti")
+    keep.groupBy("digest", "payload").count().select("digest", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """(key, header, payload, record): every record of the archive, its payload's bytes checked against their digest.
+    """(key, header, payload, record): every record of the archive, its payload's bytes checked against their digest; one without is an error.
 
     `record` is the WARC record itself: header, body (none in a revisit), and the two line ends after it.
     """
     payloads = spark.read.parquet(f"{path}/payloads")
     wrong = F.raise_error(F.concat(F.lit("the payload is not what its digest says: "), F.col("digest")))
     checked = payloads.select("digest", F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(wrong.cast("binary")).alias("payload"))
-    both = spark.read.parquet(f"{path}/headers").join(checked, "digest")
+    found = spark.read.parquet(f"{path}/headers").join(checked.withColumnRenamed("digest", "of"), F.col("digest") == F.col("of"), "left")
+    lost = F.raise_error(F.concat(F.lit("no payload is stored for the digest "), F.col("digest")))
+    both = found.withColumn("payload", F.when(F.col("of").isNull(), lost.cast("binary")).otherwise(F.col("payload")))
     head = F.encode("header", "UTF-8")
     body = F.when(field("WARC-Type") == "revisit", F.unhex(F.lit(""))).otherwise(F.col("payload"))
     return both.select("key", "header", "payload", F.concat(head, body, F.encode(F.lit("\r\n\r\n"), "UTF-8")).alias("record"))

@@ -95,6 +95,16 @@ def test_warc_round_trip(spark, tmp_path):
     assert got[3]["record"].endswith(b"Content-Length: 0\r\n\r\n\r\n\r\n") and got[1]["record"].endswith("<p>é\r\n\r\n".encode())
 
 
+def test_warc_keeps_every_payload_of_a_repeated_page(spark, tmp_path):
+    rows = [(1, "A"), (2, "A"), (2, "B"), (3, "B")]
+    warc.write(spark.createDataFrame([(k, "u", h) for k, h in rows], "page_id long, url string, html string"), f"{tmp_path}/a")
+    assert sorted((r["key"], bytes(r["payload"]).decode()) for r in warc.read(spark, f"{tmp_path}/a").collect()) == rows
+    spark.read.parquet(f"{tmp_path}/a/payloads").filter("payload = encode('A', 'UTF-8')").write.parquet(f"{tmp_path}/b/payloads")
+    spark.read.parquet(f"{tmp_path}/a/headers").write.parquet(f"{tmp_path}/b/headers")
+    with pytest.raises(Exception, match="no payload is stored"):
+        warc.read(spark, f"{tmp_path}/b").collect()
+
+
 def test_pii_equals_brute_force(spark):
     base = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
