@@ -45,7 +45,7 @@ def word_hashes(data: bytes) -> np.ndarray:
     """A 64-bit hash of each word (bytes between ASCII white space), in order, without a Python step a word.
 
     Prefix sums of a polynomial over the bytes give every word's own polynomial; a word of over SEGMENT bytes is
-    hashed whole by another function.
+    hashed whole by another function, wherever it stands.
     """
     out, at = [], 0
     while at < len(data):
@@ -57,7 +57,10 @@ def word_hashes(data: bytes) -> np.ndarray:
             out.append(np.array([xxhash.xxh3_64_intdigest(data[at + s : at + e]) if e - s > SEGMENT else int(word_hashes(data[at + s : at + e])[0]) for s, e in zip(starts, ends, strict=True)], U))
         else:
             sums = np.r_[U(0), np.cumsum((b + U(1)) * POWER[: len(b)])]
-            out.append(mix((sums[ends] - sums[starts]) * INVERSE[starts]))
+            found = mix((sums[ends] - sums[starts]) * INVERSE[starts])
+            for i in np.flatnonzero(ends - starts > SEGMENT):
+                found[i] = xxhash.xxh3_64_intdigest(data[at + starts[i] : at + ends[i]])
+            out.append(found)
         at = cut
     return np.concatenate(out) if out else np.zeros(0, U)
 

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.llm import chat, chunk_dedup, dart_minhash, hash_tree, packing, phrase_index, pii, substring_dedup, toxicity, warc
+from loomgraph.llm import chat, chunk_dedup, dart_minhash, hash_tree, hashing, packing, phrase_index, pii, substring_dedup, toxicity, warc
 from loomgraph.llm.queries import QUERIES, SQL
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -125,6 +125,13 @@ def test_pii_equals_brute_force(spark):
         assert set(said.split(",")) - {""} <= set(got[i]["spans"].split(","))
 
 
+def test_a_word_hashes_alike_wherever_it_stands():
+    long, before = b"x" * (hashing.SEGMENT + hashing.SEGMENT // 5), b"word " * (hashing.SEGMENT // 5 - 10000)
+    alone = hashing.word_hashes(long + b" end")
+    assert (hashing.word_hashes(before + long + b" end")[-2:] == alone).all()
+    assert hashing.word_hashes(b"x" * hashing.SEGMENT + b" end")[0] == hashing.word_hashes(before + b"x" * hashing.SEGMENT + b" " + long)[-2]
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha x beta"), (2, "alpha x x x beta"), (3, "beta alpha")], "doc_id long, text string")
     q = spark.createDataFrame([(7, ["alpha", "beta"])], "qid long, terms array<string>")
