@@ -71,11 +71,14 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", hex_digits:
 
 
 def kept(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns; of rows that repeat a kept key, one."""
+    """The rows of docs that stay, with all their columns; of rows that repeat a kept key and its text, one."""
     with scratch(docs.sparkSession):
-        stay = stored(dedup(docs, key, text).filter("kept").groupBy("doc_id").agg(F.count("*").alias("rows")), "kept", keep=True)
-    left = docs.join(stay.select(F.col("doc_id").alias("__stay")), F.col(key).eqNullSafe(F.col("__stay")), "left_semi")
-    return left if stay.filter("rows > 1").isEmpty() else left.dropDuplicates([key])
+        stay = dedup(docs, key, text).filter("kept").groupBy("doc_id", F.unhex("text_sha256").alias("sha")).agg(F.count("*").alias("rows"))
+        stay = stored(stay, "kept", keep=True)
+    sha = F.unhex(F.sha2(ascii_lower(F.col(text)), 256))
+    of = stay.select(F.col("doc_id").alias("__stay"), F.col("sha").alias("__sha"))
+    left = docs.join(of, F.col(key).eqNullSafe(F.col("__stay")) & (sha == F.col("__sha")), "left_semi")
+    return left if stay.filter("rows > 1").isEmpty() else left.withColumn("__sha", sha).dropDuplicates([key, "__sha"]).drop("__sha")
 
 
 def op10_chunk_recipe_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -320,7 +320,17 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs without those that a smaller id of their class stands for, with all their columns."""
+    """The rows of docs without those that a smaller id of their class stands for, with all their columns.
+
+    Texts that share an id are judged apart, each under a number of its own in the order of ids and text hashes.
+    """
+    named = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("h")).filter("id is not null").distinct()
+    if not named.groupBy("id").count().filter("count > 1").isEmpty():
+        own = stored(named.orderBy("id", "h").withColumn("__node", F.monotonically_increasing_id()), "numbers", keep=True)
+        own = own.withColumnRenamed("id", "__id").withColumnRenamed("h", "__h")
+        rows = docs.join(own, (F.col(key) == F.col("__id")) & (F.xxhash64(text) == F.col("__h")), "left")
+        gone = classes(rows.select("__node", text), "__node", text).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+        return rows.join(gone, F.col("__node") == F.col("__gone"), "left_anti").select(*docs.columns)
     gone = classes(docs, key, text).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, F.col(key) == F.col("__gone"), "left_anti")
 

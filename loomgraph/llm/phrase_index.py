@@ -116,6 +116,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     a document of which a twentieth is hit is contaminated. Null and empty texts have no words, no hits and are clean;
     without items nothing is hit. Items that repeat count once by their id. Rows that repeat a doc_id are judged apart.
     """
+    return judged(docs, items, key, text, item, item_text, length).drop("h")
+
+
+def judged(docs: DataFrame, items: DataFrame, key: str, text: str, item: str = "item_id", item_text: str = "text", length: int = WINDOW) -> DataFrame:
+    """What decontaminate() returns, and the hash h of the row's text."""
     held = stored(windows(items, item, item_text, length), "windows")
     phrases = held.groupBy("terms").agg(F.collect_set("item_id").alias("items"))
     phrases = stored(phrases.select(F.xxhash64("terms").alias("a"), F.row_number().over(W.partitionBy(F.xxhash64("terms")).orderBy("terms")).alias("b"), "terms", "items"), "phrases")
@@ -136,6 +141,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return all_docs.join(both, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("h") == F.col("hit_h")), "left").select(
         "doc_id",
+        "h",
         "n_words",
         hit.alias("n_hit"),
         F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_items"),
@@ -146,8 +152,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
 
 def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that are not contaminated, with all their columns."""
-    bad = decontaminate(docs, items, key, text).filter("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col(key).eqNullSafe(F.col("__bad")), "left_anti")
+    bad = judged(docs, items, key, text).filter("contaminated").select(F.col("doc_id").alias("__bad"), F.col("h").alias("__h")).distinct()
+    return docs.join(bad, F.col(key).eqNullSafe(F.col("__bad")) & (F.xxhash64(text) == F.col("__h")), "left_anti")
 
 
 def op6_positional_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

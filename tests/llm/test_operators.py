@@ -228,6 +228,17 @@ def test_near_duplicates_of_a_template_family_equal_brute_force(spark, monkeypat
     assert {r["doc_id"]: r["class_id"] for r in got} == want
 
 
+def test_pipeline_filters_judge_texts_that_share_an_id_apart(spark):
+    one, two, three = (" ".join(f"{p}{i}" for i in range(40)) for p in "abc")
+    docs = spark.createDataFrame([(None, one), (None, two), (1, three), (7, two + " x"), (7, three + " x"), (7, "alone")], "doc_id long, text string")
+    ids = lambda df: sorted(((r["doc_id"] or 0, r["text"]) for r in df.collect()))
+    whole = ids(docs)
+    assert ids(chunk_dedup.kept(docs.union(docs))) == whole
+    assert ids(dart_minhash.one_of_each(docs)) == [r for r in whole if r != (7, three + " x")]
+    items = spark.createDataFrame([(1, one), (2, three)], "item_id long, text string")
+    assert ids(phrase_index.clean(docs, items)) == [r for r in whole if r[1] in (two, two + " x", "alone")]
+
+
 def test_pipeline_keeps_clean_documents(spark):
     import corpus_pipeline
 
