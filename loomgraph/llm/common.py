@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,13 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (only where that is unset) a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one in local mode alone, where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        held = spark.sparkContext.getCheckpointDir()
-        root = held or tempfile.mkdtemp(prefix="loomgraph-")
-        if not held:
-            spark.sparkContext.setCheckpointDir(root)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="loomgraph-")
+        spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/loomgraph-{spark.sparkContext.applicationId}"
 
 
@@ -60,7 +62,6 @@ def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, held)
-    spark.sparkContext._jvm.System.gc()  # and those of actions that came before, when Spark's cleaner gets to them
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -74,6 +75,35 @@ def release(spark: SparkSession) -> None:
     remove(spark, shared_dir(spark))
 
 
+#: Bits of the bitmap that tells rows which are surely not concerned from those that may be, and bits of one piece of it.
+BITS, PIECE = 1 << 26, 1 << 15
+
+
+def split_by(docs: DataFrame, keys: list[Column], named: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(others, maybe): the rows of docs whose keys are surely not among named's columns `names`, and all the rest.
+
+    A bitmap of BITS hash bits of the named keys (8 MiB at most, whatever the input) is broadcast, so others pass
+    without moving. The more is named, the more of docs is in maybe; no row is in both or in neither. Keys are
+    compared with nulls equal. docs is read twice and should be a stored table.
+    """
+    bit = lambda cols: F.shiftrightunsigned(F.xxhash64(*cols), 64 - BITS.bit_length() + 1)
+    bits = named.select(bit([F.col(n) for n in names]).alias("bit")).groupBy(F.expr(f"bit div {PIECE}").alias("__piece"))
+    bits = bits.agg(F.bitmap_construct_agg(F.expr(f"bit % {PIECE}")).alias("__map"))
+    at = F.col("__bit") % PIECE
+    byte = F.ascii(F.decode(F.substring("__map", (at / 8).cast("int") + 1, F.lit(1)), "ISO-8859-1"))
+    tagged = docs.withColumn("__bit", bit(keys)).withColumn("__piece", F.expr(f"__bit div {PIECE}")).join(F.broadcast(bits), "__piece", "left")
+    maybe = tagged.withColumn("__maybe", F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False)))
+    return tuple(maybe.filter(F.col("__maybe") == said).select(*docs.columns) for said in (False, True))
+
+
+def without(docs: DataFrame, keys: list[Column], gone: DataFrame, names: list[str]) -> DataFrame:
+    """The rows of docs whose keys are not among gone's columns `names` (nulls equal); only rows that may be are moved."""
+    others, maybe = split_by(docs, keys, gone, names)
+    said = gone.select(*[F.col(n).alias(f"__gone{i}") for i, n in enumerate(names)]).hint("shuffle_hash")
+    same = [k.eqNullSafe(F.col(f"__gone{i}")) for i, k in enumerate(keys)]
+    return others.unionByName(maybe.join(said, reduce(Column.__and__, same), "left_anti"))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else; null is empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)

@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import shared_dir, table
+from loomgraph.llm.common import shared_dir, split_by, stored, table
 
 #: Every record has the date of the crawl; a parameter, since pages have none.
 DATE = "2024-01-01T00:00:00Z"
@@ -63,19 +63,26 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", h
     A null html is an empty payload, a null url an empty target. Of equal payloads of at least `least` bytes the
     record with the smallest key is the response (rows that repeat that key and payload are responses too; a null
     key is larger than any); shorter payloads are all responses. An empty table gives an empty archive; other columns
-    play no part. Payload bytes cross the network once, and only those of responses.
+    play no part. Only digests are grouped; payloads go from the scan to the archive, but for the few rows that may
+    not be the one that stores theirs. Payloads of one SHA-256 must agree in SHA-1 and length, or the write fails.
     """
     body = F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")
     named = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.sha2(body, 256).alias("digest"), base32_sha1(body).alias("sha1"), F.octet_length(body).alias("length"))
-    firsts = named.groupBy("digest").agg(F.min("key").alias("first"))
+    both = F.struct("sha1", "length")
+    firsts = named.groupBy("digest").agg(F.min("key").alias("first"), F.min(both).alias("least"), F.max(both).alias("most"), F.count("*").alias("rows"))
+    wrong = F.raise_error(F.concat(F.lit("two payloads have the digest "), F.col("digest")))
+    firsts = firsts.withColumn("first", F.when(F.col("least") == F.col("most"), F.col("first")).otherwise(wrong.cast(pages.schema[key].dataType)))
+    firsts = stored(firsts.select(F.col("digest").alias("of"), "first", "rows"), "digests")
     revisit = (F.col("length") >= least) & F.col("first").isNotNull() & ~F.col("key").eqNullSafe(F.col("first"))
-    records = named.join(firsts, "digest").withColumn("kind", F.when(revisit, "revisit").otherwise("response"))
+    records = named.join(firsts, F.col("digest") == F.col("of")).withColumn("kind", F.when(revisit, "revisit").otherwise("response"))
     parts = [F.col(c) for c in ("key", "url", "kind", "first", "sha1", "length")]
     records.select("key", "digest", header(*parts, date).alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
-    again = records.filter(revisit).select(F.col("key").alias("again"), F.col("digest").alias("of")).distinct()
     bodies = pages.select(F.col(key).alias("key"), F.sha2(body, 256).alias("digest"), body.alias("payload"))
-    keep = bodies.join(again, (F.col("key") == F.col("again")) & (F.col("digest") == F.col("of")), "left_anti")
-    keep.groupBy("digest", "payload").count().select("digest", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
+    more = firsts.filter("rows > 1")
+    alone, shared = split_by(bodies, [F.col("digest")], more, ["of"])
+    first = shared.join(more.hint("shuffle_hash"), F.col("digest") == F.col("of"), "left").filter("rows is null or key <=> first")
+    once = first.select("digest", "payload").dropDuplicates(["digest"])
+    alone.select("digest", "payload").unionByName(once).write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
