@@ -101,8 +101,8 @@ def h_is_unique(spark, d):
 
 
 def j_elect_key(spark, d):
-    e = table(spark, d, "events")
-    return G.elect_key(e.select(F.col("event_type").alias("table"), (F.col("user_id") % 10).alias("column"), F.col("user_id").alias("other")), 2)
+    o = table(spark, d, "orders")
+    return G.elect_key(o.select(F.col("o_orderpriority").alias("table"), F.month("o_orderdate").alias("column"), F.col("o_custkey").alias("other")), 2)
 
 
 def e_nearest(spark, d):
@@ -204,7 +204,7 @@ SELECT start, node, min(hops) AS hops FROM r GROUP BY 1, 2""",
     "j_sharing": f"WITH {BRANDS} SELECT x.l_orderkey AS a, y.l_orderkey AS b, count(*) AS shared FROM r x JOIN r y ON x.p_brand = y.p_brand AND x.l_orderkey <> y.l_orderkey WHERE x.l_orderkey % 100 = 0 GROUP BY 1, 2 HAVING count(*) >= 3",
     "h_is_unique": UNIQUE,
     "j_elect_key": """
-WITH d AS (SELECT event_type AS "table", user_id % 10 AS "column", count(DISTINCT user_id) AS degree FROM events GROUP BY 1, 2),
+WITH d AS (SELECT o_orderpriority AS "table", month(o_orderdate)::INT AS "column", count(DISTINCT o_custkey) AS degree FROM orders GROUP BY 1, 2),
 m AS (SELECT *, rank() OVER (PARTITION BY "table" ORDER BY degree DESC) AS r FROM d),
 k AS (SELECT * FROM m WHERE r = 1 QUALIFY count(*) OVER (PARTITION BY "table") = 1)
 SELECT "table", "column", degree FROM k WHERE degree >= 2""",

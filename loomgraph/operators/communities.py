@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
 from itertools import count
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,7 +58,7 @@ def _moves(both: DataFrame, total: float, gamma: float, seed: int) -> DataFrame:
     for r in count():
         start = now = at.withColumn("moved", F.lit(False))
         for half in (0, 1):
-            mine = now.filter(F.pmod(F.xxhash64("node", F.lit(seed), F.lit(r)), F.lit(2)) == half)
+            mine = now.filter(F.crc32(F.concat_ws("/", F.col("node").cast("string"), F.lit(f"{seed}/{r}")).cast("binary")) % 2 == half)
             now = _after(now, _offers(both, now, mine, total, gamma))
         if now.filter("moved").isEmpty():
             return at.select("node", "c")
@@ -67,15 +69,108 @@ def _moves(both: DataFrame, total: float, gamma: float, seed: int) -> DataFrame:
         at, best = now, got
 
 
-def communities(edges: DataFrame, a: str = "a", b: str = "b", weight: str = "n", gamma: float = 1.0, seed: int = 42, levels: int | None = None) -> DataFrame:
+#: Edges, counted in both directions, up to which communities are found on the driver, by the same rounds.
+SMALL = 2_000_000
+
+
+class Small:
+    """_moves() in numpy, over a graph of a checked size."""
+
+    def __init__(self, names: list, x: np.ndarray, y: np.ndarray, w: np.ndarray, total: float, gamma: float, seed: int):
+        self.names, self.x, self.y, self.w, self.total, self.gamma, self.seed = names, x, y, w, total, gamma, seed
+        self.k = np.bincount(x, w, len(names))
+
+    def offers(self, c: np.ndarray, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(n, to, d): as _offers()."""
+        n = len(self.names)
+        mass, use = np.bincount(c, self.k, n), mine[self.x] & (self.x != self.y)
+        nodes = np.flatnonzero(mine)
+        key = np.r_[self.x[use] * n + c[self.y[use]], nodes * n + c[nodes]]
+        pairs, at = np.unique(key, return_inverse=True)
+        w = np.bincount(at, np.r_[self.w[use], np.zeros(len(nodes))])
+        x, to = pairs // n, pairs % n
+        own = to == c[x]
+        gain = np.round(w - self.gamma * self.k[x] * (mass[to] - np.where(own, self.k[x], 0.0)) / self.total, 9)
+        order = np.lexsort((to, ~own, -gain, x))
+        first = order[np.r_[True, x[order][1:] != x[order][:-1]]] if len(order) else order
+        stay = np.zeros(n)
+        stay[x[own]] = gain[own]
+        best = first[~own[first]]
+        return x[best], to[best], gain[best] - stay[x[best]]
+
+    def apart(self, c: np.ndarray, n: np.ndarray, to: np.ndarray, d: np.ndarray) -> np.ndarray:
+        """Which offers are the best of both communities they touch."""
+        rank = np.empty(len(n), int)
+        rank[np.lexsort((n, d))] = np.arange(len(n))
+        top = np.full(len(self.names), -1)
+        np.maximum.at(top, c[n], rank)
+        np.maximum.at(top, to, rank)
+        return (top[c[n]] == rank) & (top[to] == rank)
+
+    def modularity(self, c: np.ndarray) -> float:
+        chance = np.bincount(c, self.k, len(self.names))
+        return self.w[c[self.x] == c[self.y]].sum() / self.total - self.gamma * (chance**2).sum() / self.total**2
+
+    def moves(self) -> np.ndarray:
+        at = np.arange(len(self.names))
+        best = self.modularity(at)
+        for r in count():
+            now = at.copy()
+            half = np.array([zlib.crc32(f"{v}/{self.seed}/{r}".encode()) % 2 for v in self.names])
+            for h in (0, 1):
+                n, to, _ = self.offers(now, half == h)
+                now = now.copy()
+                now[n] = to
+            if (now == at).all():
+                n, to, _ = self.offers(at, np.ones(len(at), bool))
+                if not len(n):
+                    return at
+            got = self.modularity(now)
+            if got <= best + 1e-12:
+                n, to, d = self.offers(at, np.ones(len(at), bool))
+                if not len(n):
+                    return at
+                good = self.apart(at, n, to, d)
+                now = at.copy()
+                now[n[good]] = to[good]
+                got = self.modularity(now)
+            at, best = now, got
+
+
+def small_communities(both: DataFrame, gamma: float, seed: int, levels: int | None) -> DataFrame:
+    """communities() of a graph (x, y, w) on the driver."""
+    held = both.toPandas()
+    names = sorted(set(held["x"]))
+    code = {v: i for i, v in enumerate(names)}
+    x, y, w = held["x"].map(code).to_numpy(np.int64), held["y"].map(code).to_numpy(np.int64), held["w"].to_numpy(float)
+    place, total, now = np.arange(len(names)), float(w.sum()), names
+    for _ in count() if levels is None else range(levels):
+        c = Small(now, x, y, w, total, gamma, seed).moves()
+        if (c == np.arange(len(now))).all():
+            break
+        kept, to = np.unique(c, return_inverse=True)
+        place = to[place]
+        edges, at = np.unique(to[x] * len(kept) + to[y], return_inverse=True)
+        x, y, w, now = edges // len(kept), edges % len(kept), np.bincount(at, w), [now[i] for i in kept]
+    least = np.full(len(names), len(names))
+    np.minimum.at(least, place, np.arange(len(names)))
+    kind = both.schema["x"].dataType.simpleString()
+    rows = [(v, names[least[p]]) for v, p in zip(names, place.tolist(), strict=True)]
+    return both.sparkSession.createDataFrame(rows, f"node {kind}, community {kind}")
+
+
+def communities(edges: DataFrame, a: str = "a", b: str = "b", weight: str = "n", gamma: float = 1.0, seed: int = 42, levels: int | None = None, small: int = SMALL) -> DataFrame:
     """(node, community): nodes of weighted edges grouped so that more weight lies inside than chance has; named by their least node.
 
     Nodes are moved until none gains by it, then each community counts as one node, until none of these moves or
     `levels`, if given, are done. Equal gains go to the own community, then to the least: a seed gives the same groups
-    on every run. Edges with a null end or a weight of 0 or less are none.
+    on every run. Edges with a null end or a weight of 0 or less are none. A graph of up to `small` edges is moved on
+    the driver, a larger one in rounds of joins; the rounds are the same.
     """
     flat = edges.select(F.col(a).alias("x"), F.col(b).alias("y"), F.col(weight).cast("double").alias("w")).dropna().filter("w > 0")
     both = stored(flat.union(flat.select("y", "x", "w")).groupBy("x", "y").agg(F.sum("w").alias("w")), "graph")
+    if 0 < both.limit(small + 1).count() <= small:
+        return small_communities(both, gamma, seed, levels)
     total = both.agg(F.sum("w")).first()[0]
     place = both.select(F.col("x").alias("node"), F.col("x").alias("community")).distinct()
     for _ in (count() if levels is None else range(levels)) if total else ():

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loomgraph.sources.shared import stored
 
-#: Query vectors that one pass holds against all rows; more of them take more passes.
+#: Query vectors that one pass holds against all rows, on the driver and in each task; more of them take more passes.
 BLOCK = 2_000
 
 
@@ -82,23 +87,70 @@ def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda q, z: q + z)
 
 
-def nearest(rows: DataFrame, asked: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", floor: float | None = None) -> DataFrame:
+def units(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Vectors of one length as rows of a matrix, each scaled to length 1; a vector of zeros stays one."""
+    m = np.asarray(column.to_pylist(), float)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), np.finfo(float).tiny)
+
+
+def nearest(rows: DataFrame, asked: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", floor: float | None = None, kind: str | None = None) -> DataFrame:
     """(query, near, score, rank): the k rows of highest cosine for each asked one, itself aside; equal scores by key.
 
-    Asked vectors are held against all rows in blocks of BLOCK; each task keeps its own best k before the shuffle.
+    BLOCK asked vectors at once go to all tasks; a task multiplies them with its rows, a batch at a time, and keeps its
+    own best k, so a pass moves k rows a task and query. With a kind, only rows of the query's kind count. Null vectors
+    and keys are left out; vectors have one length.
     """
-    unit = lambda d, name, v: d.filter(F.col(vector).isNotNull()).select(F.col(key).alias(name), F.transform(vector, lambda x: x / F.sqrt(dot(vector, vector))).alias(v))
-    all_rows, wanted = unit(rows, "near", "v"), unit(asked, "query", "q")
-    n = wanted.count()
-    parts = max(1, -(-n // BLOCK))
+    held = lambda d: d.select(F.col(key).alias("k"), F.col(vector).alias("v"), (F.col(kind) if kind else F.lit(0)).cast("string").alias("g")).dropna()
+    every, wanted = held(rows), held(asked)
+    type_ = rows.schema[key].dataType.simpleString()
+    parts = max(1, -(-wanted.count() // BLOCK))
     out = None
     for i in range(parts):
-        block = wanted if parts == 1 else wanted.filter(F.pmod(F.xxhash64("query"), F.lit(parts)) == i)
-        scored = all_rows.join(F.broadcast(block), F.col("near") != F.col("query")).select("query", "near", F.round(dot("v", "q"), 6).alias("score"))
-        scored = scored if floor is None else scored.filter(F.col("score") >= floor)
-        best = scored.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "near"))).filter(F.col("rank") <= k)
-        out = best if out is None else out.union(best)
-    return out
+        block = wanted.filter(F.pmod(F.xxhash64("k"), F.lit(parts)) == i).toArrow()
+        if not block.num_rows:
+            continue
+        shared = rows.sparkSession.sparkContext.broadcast((block.column("k").to_pylist(), units(block.column("v")), np.asarray(block.column("g").to_pylist())))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, q, of = shared.value
+            best = pd.DataFrame({"query": [], "near": [], "score": []})
+            who = pd.Series(ids)
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                near = pd.Series(b.column(0).to_pylist())
+                score = np.round(units(b.column(1)) @ q.T, 6)
+                score[np.asarray(b.column(2).to_pylist())[:, None] != of[None, :]] = -np.inf
+                same = pd.Index(near).get_indexer_for(who)
+                score[same[same >= 0], np.flatnonzero(same >= 0)] = -np.inf
+                least = np.partition(score, -min(k, len(near)), axis=0)[-min(k, len(near))]
+                at, which = np.nonzero((score >= least) & (score > -np.inf) & (score >= (-np.inf if floor is None else floor)))
+                new = pd.DataFrame({"query": who.to_numpy()[which], "near": near.to_numpy()[at], "score": score[at, which]})
+                best = new if best.empty else pd.concat([best, new])
+                best = best.sort_values(["query", "score", "near"], ascending=[True, False, True]).groupby("query").head(k)
+            if not best.empty:
+                yield pa.RecordBatch.from_pandas(best, schema=pa.schema([("query", kinds), ("near", kinds), ("score", pa.float64())]), preserve_index=False)
+
+        kinds = block.column("k").type
+        found = every.mapInArrow(run, f"query {type_}, near {type_}, score double")
+        out = found if out is None else out.union(found)
+    if out is None:
+        out = every.sparkSession.createDataFrame([], f"query {type_}, near {type_}, score double")
+    return out.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "near"))).filter(F.col("rank") <= k)
+
+
+def near_links(rows: DataFrame, k: int, cut: float, key: str = "vec_id", vector: str = "embedding", kind: str | None = None) -> DataFrame:
+    """(a, b, w), a < b: links to the k nearest of one kind with a cosine above `cut`, scaled to 0 to 1; either way's greater one.
+
+    A row without such a link is (key, null, null).
+    """
+    met = nearest(rows, rows, k, key, vector, cut, kind).filter(F.col("score") > cut)
+    w = F.greatest((F.col("score") - cut) / (1 - cut), F.lit(1e-6))
+    links = met.select(F.least("query", "near").alias("a"), F.greatest("query", "near").alias("b"), w.alias("w")).groupBy("a", "b").agg(F.max("w").alias("w"))
+    links = stored(links, "links")
+    linked = links.select(F.explode(F.array("a", "b")).alias(key)).distinct()
+    alone = rows.filter(F.col(key).isNotNull()).select(key).distinct().join(linked, key, "left_anti")
+    return links.unionByName(alone.select(F.col(key).alias("a")), allowMissingColumns=True)
 
 
 def centres(rows: DataFrame, group: str, vector: str = "embedding") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -70,36 +71,92 @@ def leave_one_out(steps: DataFrame, prior: float, floor: int) -> DataFrame:
     return told.agg(F.count("*").alias("n"), F.count("odds").alias("covered"), F.avg(error * error).alias("brier"))
 
 
-def absorbing_chain(steps: DataFrame, prior: float = 5.0, tolerance: float = 1e-9, rounds: int = 1000) -> DataFrame:
-    """(element, chance): the chance that a conversation at an element ends well, by the chain of its next elements.
+#: Elements whose chain is solved on the driver; the counts between more of them are joined in rounds instead.
+SMALL = 5_000
 
-    chance(e) = (sum of num(e, y) * chance(y) + ends(e) * smoothed(e)) / (sum of num + ends(e)), where conversations
-    whose last turn is e end there. An element that nothing leaves has the base rate. Rounds are joins, eight to a
-    job, written to the shared folder; they end when no chance moves by the tolerance.
-    """
-    ended = outcomes(steps)
+
+def chain_counts(steps: DataFrame) -> DataFrame:
+    """(element, next, num): how often the turn after one of an element is of the other kind, by that turn's element."""
     w = W.partitionBy("conv_id").orderBy(*ORDER)
-    pairs = steps.select("element", F.lead("element").over(w).alias("next")).filter("next is not null").groupBy("element", "next").agg(F.count("*").alias("num"))
-    pairs = stored(pairs, "steps")
-    base = ended.agg(F.avg(F.col("good").cast("double")).alias("base")).first()["base"]
-    fin = ended.groupBy(F.col("last").alias("element")).agg(F.count("*").alias("fin"), F.count_if("good").alias("fin_good"))
+    near = steps.select("element", "kind", F.lead("element").over(w).alias("next"), F.lead("kind").over(w).alias("next_kind"))
+    return near.filter("kind <> next_kind").groupBy("element", "next").agg(F.count("*").alias("num"))
+
+
+def absorbing_chain(steps: DataFrame, prior: float = 5.0, tolerance: float = 1e-9, rounds: int = 100_000, small: int = SMALL) -> DataFrame:
+    """(element, chance): the chance that a conversation at an element ends well, by the chain of its next elements."""
+    ended = outcomes(steps).select("conv_id", "last", F.lit("good").alias("outcome"), F.col("good").cast("long").alias("hit"))
+    return absorbed(steps, ended, prior, tolerance, rounds, small).select("element", "chance")
+
+
+def chain_kinds(steps: DataFrame, ended: DataFrame, prior: float = 5.0, tolerance: float = 1e-9, rounds: int = 100_000, small: int = SMALL) -> DataFrame:
+    """(outcome, element, chance): for each kind of outcome of ended (conv_id, last, outcome) the chance that a case at an element ends so."""
+    kinds = ended.select("outcome").distinct().withColumnRenamed("outcome", "k")
+    each = ended.crossJoin(F.broadcast(kinds))  # kinds are few by definition; a row a case and kind
+    return absorbed(steps, each.select("conv_id", "last", F.col("k").alias("outcome"), (F.col("outcome") == F.col("k")).cast("long").alias("hit")), prior, tolerance, rounds, small)
+
+
+def likely(chances: DataFrame, shown: int) -> DataFrame:
+    """(element, outcome, chance, rank): an element's likeliest outcomes; equal ones by name."""
+    spot = F.row_number().over(W.partitionBy("element").orderBy(F.desc("chance"), "outcome"))
+    return chances.select("element", "outcome", "chance", spot.alias("rank")).filter(F.col("rank") <= shown)
+
+
+def absorbed(steps: DataFrame, ended: DataFrame, prior: float, tolerance: float, rounds: int, small: int) -> DataFrame:
+    """(outcome, element, chance) of ended (conv_id, last, outcome, hit): hit is 1 where the case ended so, else 0.
+
+    chance(e) = (sum of num(e, y) * chance(y) + fin(e) * smoothed(e)) / (sum of num + fin(e)), where fin(e) cases ended
+    at e, and smoothed pulls their share toward the base rate by `prior` cases. An element that nothing leaves and where
+    nothing ended has the base rate. Counts are folded first; up to `small` elements are solved on the driver, more of
+    them by joins, eight rounds to a job. It is an error if chances still move by the tolerance after all rounds.
+    """
+    pairs = stored(chain_counts(steps), "steps")
+    fin = ended.groupBy("outcome", F.col("last").alias("element")).agg(F.count("*").alias("fin"), F.sum("hit").alias("hits"))
+    base = ended.groupBy("outcome").agg(F.avg(F.col("hit").cast("double")).alias("base"))
     out = pairs.groupBy("element").agg(F.sum("num").alias("out"))
-    each = steps.select("element").distinct().join(fin, "element", "left").join(out, "element", "left").na.fill(0, ["fin", "fin_good", "out"])
-    prior_base = F.lit(prior * (base or 0.0))
-    each = each.select("element", (F.col("fin") * (F.col("fin_good") + prior_base) / (F.col("fin") + prior)).alias("ending"), (F.col("fin") + F.col("out")).alias("leaving"))
-    each = stored(each, "elements")
-    chance = each.select("element", F.lit(base).cast("double").alias("chance"))
+    every = steps.select("element").distinct().crossJoin(F.broadcast(base))  # a row an outcome
+    each = every.join(fin, ["outcome", "element"], "left").join(out, "element", "left").na.fill(0, ["fin", "hits", "out"])
+    ending = F.col("fin") * (F.col("hits") + prior * F.col("base")) / (F.col("fin") + prior)
+    each = stored(each.select("outcome", "element", "base", F.when(F.col("fin") > 0, ending).otherwise(F.lit(0.0)).alias("ending"), (F.col("fin") + F.col("out")).alias("leaving")), "elements")
+    if steps.select("element").distinct().limit(small + 1).count() <= small:
+        return solved(pairs, each, tolerance, rounds)
+    chance = each.select("outcome", "element", F.col("base").alias("chance"))
 
     def turn(now: DataFrame, _: int) -> DataFrame:
-        came = pairs.join(now.select(F.col("element").alias("next"), "chance"), "next").groupBy("element").agg(F.sum(F.col("num") * F.col("chance")).alias("came"))
+        came = pairs.join(now.select("outcome", F.col("element").alias("next"), "chance"), "next").groupBy("outcome", "element").agg(F.sum(F.col("num") * F.col("chance")).alias("came"))
         new = (F.coalesce("came", F.lit(0.0)) + F.col("ending")) / F.col("leaving")
-        return each.join(came, "element", "left").select("element", F.when(F.col("leaving") > 0, new).otherwise(F.lit(base)).alias("chance"))
+        return each.join(came, ["outcome", "element"], "left").select("outcome", "element", F.when(F.col("leaving") > 0, new).otherwise(F.col("base")).alias("chance"))
 
     for _ in range(-(-rounds // 8)):
         near = stored(reduce(turn, range(7), chance), "chance")
-        last = stored(turn(near, 0), "chance")
-        moved = last.join(near.withColumnRenamed("chance", "was"), "element").agg(F.max(F.abs(F.col("chance") - F.col("was")))).first()[0]
-        chance = last
+        chance = stored(turn(near, 0), "chance")
+        moved = chance.join(near.withColumnRenamed("chance", "was"), ["outcome", "element"]).agg(F.max(F.abs(F.col("chance") - F.col("was")))).first()[0]
         if moved is None or moved < tolerance:
-            break
-    return chance
+            return chance
+    raise ValueError(f"the chain has not settled to {tolerance} in {rounds} rounds")
+
+
+def solved(pairs: DataFrame, each: DataFrame, tolerance: float, rounds: int) -> DataFrame:
+    """The same chances from counts on the driver, of a checked number of elements."""
+    rows = each.collect()
+    at = {e: i for i, e in enumerate(sorted({r["element"] for r in rows}))}
+    found = [(at[r["element"]], at[r["next"]], r["num"]) for r in pairs.collect()]
+    src, dst, num = (np.array([f[c] for f in found], np.int64) for c in range(3))
+    out = []
+    for kind in sorted({r["outcome"] for r in rows}):
+        own = [r for r in rows if r["outcome"] == kind]
+        base, ending, leaving = (np.zeros(len(at)) for _ in range(3))
+        for r in own:
+            i = at[r["element"]]
+            base[i], ending[i], leaving[i] = r["base"], r["ending"], r["leaving"]
+        h, open_ = base.copy(), leaving > 0
+        for _ in range(rounds):
+            came = np.bincount(src, num * h[dst], len(at)) + ending
+            new = np.where(open_, came / np.where(open_, leaving, 1), base)
+            moved = np.abs(new - h).max(initial=0.0)
+            h = new
+            if moved < tolerance:
+                break
+        else:
+            raise ValueError(f"the chain has not settled to {tolerance} in {rounds} rounds")
+        out += [(kind, r["element"], float(h[at[r["element"]]])) for r in own]
+    return pairs.sparkSession.createDataFrame(out, "outcome string, element string, chance double")

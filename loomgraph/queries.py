@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomgraph import evidence_queries, more_queries
+from loomgraph import context_queries, evidence_queries, log_queries, more_queries, process_queries
 from loomgraph.operators import ranks as R
 from loomgraph.operators import usage as U
-from loomgraph.plans.requests import Catalogue, Derived, Dimension, Filter, Join, Measure, Request, answer
+from loomgraph.plans.requests import Computation, Derived, Dimension, Filter, Join, Layout, Measure, Request, answer, majority_outer, week_starts
 from loomgraph.sources.tables import table
 
-STAR = Catalogue(
+STAR = Layout(
     [
         Join("lineitem", "l_orderkey", "orders", "o_orderkey"),
         Join("lineitem", "l_partkey", "part", "p_partkey"),
@@ -18,7 +18,19 @@ STAR = Catalogue(
         Join("orders", "o_custkey", "customer", "c_custkey"),
         Join("customer", "c_nationkey", "nation", "n_nationkey"),
         Join("nation", "n_regionkey", "region", "r_regionkey"),
-    ]
+    ],
+    computations={
+        c.name: c
+        for c in (
+            Computation("open value", "measure", "SUM(orders.o_totalprice)", ("orders",), ("orders.o_orderstatus = 'O'",)),
+            Computation("open orders", "measure", "COUNT(*)", ("orders",), ("orders.o_orderstatus = 'O'",)),
+            Computation("finished share", "measure", "SUM(CASE WHEN orders.o_orderstatus = 'F' THEN 1 ELSE 0 END) / COUNT(*)", ("orders",)),
+            Computation("last price", "measure", "MAX_BY(orders.o_totalprice, orders.o_orderkey)", ("orders",), (), ("orders.o_custkey",)),
+            Computation("buyers", "measure", "COUNT(DISTINCT orders.o_custkey)", ("orders",)),
+            Computation("size", "dimension", "CASE WHEN orders.o_totalprice > 250000 THEN 'big' ELSE 'small' END", ("orders",)),
+            Computation("rich", "population", "customer.c_acctbal > 5000 AND customer.c_mktsegment <> 'FURNITURE'", ("customer",)),
+        )
+    },
 )
 MONTH, REGION = Dimension("month", "orders.o_orderdate", "month"), Dimension("region", "region.r_name")
 SALES = Measure("sales", "orders", "sum", "o_totalprice")
@@ -42,6 +54,63 @@ REQUESTS = {
     "i_sunday_weeks": (Request((ORDERS,), (), (Dimension("week", "orders.o_orderdate", "week"),)), "SELECT o_orderdate::DATE - dayofweek(o_orderdate)::INT AS week, count(*) AS n_orders FROM orders GROUP BY 1"),
     "i_quarter_filtered": (Request((SALES,), (), (Dimension("quarter", "orders.o_orderdate", "quarter"),), (Filter("customer.c_mktsegment", "in", ("BUILDING", "MACHINERY")),)), "SELECT date_trunc('quarter', o_orderdate)::DATE AS quarter, sum(o_totalprice) AS sales FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') GROUP BY 1"),
 }
+# What the compiler decides: which rows an aggregate keeps, where a fact starts, which column answers for another.
+REQUESTS |= {
+    "i_shared_conditions": (
+        Request((Measure("value", computation="open value"), Measure("n_open", computation="open orders")), (), (REGION,)),
+        f"SELECT r_name AS region, sum(o_totalprice) AS value, count(*) AS n_open {FROM} WHERE o_orderstatus = 'O' GROUP BY 1",
+    ),
+    "i_own_conditions": (
+        Request((Measure("value", computation="open value"), Measure("share", computation="finished share"), ORDERS), (), (REGION,)),
+        f"SELECT r_name AS region, sum(o_totalprice) FILTER (o_orderstatus = 'O') AS value, (count(*) FILTER (o_orderstatus = 'F')) / count(*) AS share, count(*) AS n_orders {FROM} GROUP BY 1",
+    ),
+    "i_latest_value": (
+        Request((Measure("held", computation="last price"),), (), (Dimension("segment", "customer.c_mktsegment"),)),
+        "SELECT segment, sum(v) AS held FROM (SELECT c_mktsegment AS segment, o_custkey, max_by(o_totalprice, o_orderkey) AS v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2) GROUP BY 1",
+    ),
+    "i_latest_at_its_grain": (
+        Request((Measure("held", computation="last price"),), (), (Dimension("customer", "orders.o_custkey"),), (), ("orders.o_orderdate", "1997-01-01", None)),
+        "SELECT o_custkey AS customer, max_by(o_totalprice, o_orderkey) AS held FROM orders WHERE o_orderdate::DATE >= '1997-01-01' GROUP BY 1",
+    ),
+    "i_fact_moves": (
+        Request((Measure("buyers", computation="buyers"),), (), (Dimension("brand", "part.p_brand"),), (Filter("lineitem.l_quantity", ">=", 10),)),
+        "SELECT p_brand AS brand, count(DISTINCT o_custkey) AS buyers FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 10 GROUP BY 1",
+    ),
+    "i_equal_column": (
+        Request((LINES,), (), (Dimension("supplier", "supplier.s_suppkey"), Dimension("customer", "customer.c_custkey")), (Filter("lineitem.l_quantity", ">", 49),)),
+        "SELECT l_suppkey::BIGINT AS supplier, o_custkey::BIGINT AS customer, count(*) AS n_lines FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 49 GROUP BY 1, 2",
+    ),
+    "i_period_of_two_facts": (
+        Request((ORDERS, LINES), (Derived("per_order", "ratio", "n_lines", "n_orders"),), (), (), ("orders.o_orderdate", "1996-01-01", "1996-12-31")),
+        "SELECT n_orders, n_lines, n_lines / n_orders AS per_order FROM (SELECT count(*) AS n_orders FROM orders WHERE year(o_orderdate) = 1996), (SELECT count(*) AS n_lines FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE year(o_orderdate) = 1996)",
+    ),
+    "i_columns_compared": (
+        Request((LINES,), (), (Dimension("flag", "lineitem.l_returnflag"),), (Filter("lineitem.l_suppkey", ">", "lineitem.l_partkey"),)),
+        "SELECT l_returnflag AS flag, count(*) AS n_lines FROM lineitem WHERE l_suppkey > l_partkey GROUP BY 1",
+    ),
+    "i_population": (
+        Request((ORDERS,), (), (Dimension("size", computation="size"), REGION), (Filter("rich"),)),
+        f"SELECT CASE WHEN o_totalprice > 250000 THEN 'big' ELSE 'small' END AS size, r_name AS region, count(*) AS n_orders {FROM} WHERE c_acctbal > 5000 AND c_mktsegment <> 'FURNITURE' GROUP BY 1, 2",
+    ),
+    "i_derived_of_derived": (
+        Request((ORDERS, OPEN), (Derived("twice", "ratio", "rest", "n_orders"), Derived("rest", "difference", "n_orders", "n_open")), (REGION,), (), None, (Filter("n_orders", ">", 5),), (("rest", True), ("region", False)), 3),
+        f"SELECT region, n_orders, n_open, rest / n_orders AS twice, rest FROM (SELECT r_name AS region, count(*) AS n_orders, count(*) FILTER (o_orderstatus = 'O') AS n_open, count(*) - count(*) FILTER (o_orderstatus = 'O') AS rest {FROM} GROUP BY 1 HAVING count(*) > 5) ORDER BY rest DESC, region LIMIT 3",
+    ),
+}
+
+
+def i_week_starts(spark, d):
+    """How most orders of a status name the start of a week, by their priority."""
+    day = F.element_at(F.array(*map(F.lit, ("SUNDAY", "MONDAY", "ISOWEEK", "DAY", "SUNDAY"))), F.substring("o_orderpriority", 1, 1).cast("int"))
+    t = table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("table"), F.month("o_orderdate").cast("string").alias("column"), day.alias("day")).agg(F.count("*").alias("shapes"))
+    return week_starts(t)
+
+
+def i_join_kinds(spark, d):
+    """Joins of a log of the line items, outer where most uses are."""
+    n = table(spark, d, "lineitem").groupBy("l_linenumber", "l_returnflag").agg(F.count("*").alias("n"))
+    uses = [(f"t{r[0] % 4}", "k", f"t{r[0] % 3 + 4}", "k", "LEFT" if r[1] == "N" else "INNER", r[2]) for r in n.collect()]
+    return spark.createDataFrame([(j.left, j.right, j.outer) for j in majority_outer(uses)], "left string, right string, outer boolean")
 
 
 def a_log_groups(spark, d):
@@ -98,8 +167,15 @@ def l_jaccard_pairs(spark, d):
 
 
 QUERIES = {name: (lambda spark, d, r=req: answer(spark, d, STAR, r)) for name, (req, _) in REQUESTS.items()}
-QUERIES |= {f.__name__: f for f in (a_log_groups, a_principal_profiles, h_top_values, n_transitions, n_smoothed_odds, k_capped_context, k_cadence, l_superseded_facts, o_v_measure, o_auc, l_jaccard_pairs)}
+QUERIES |= {f.__name__: f for f in (i_week_starts, i_join_kinds, a_log_groups, a_principal_profiles, h_top_values, n_transitions, n_smoothed_odds, k_capped_context, k_cadence, l_superseded_facts, o_v_measure, o_auc, l_jaccard_pairs)}
 SQL = {name: sql for name, (_, sql) in REQUESTS.items()} | {
+    "i_week_starts": """
+WITH v AS (SELECT o_orderstatus AS t, month(o_orderdate)::VARCHAR AS c, CASE o_orderpriority[1:1] WHEN '1' THEN 'week' WHEN '5' THEN 'week' WHEN '2' THEN 'week_monday' WHEN '3' THEN 'week_monday' END AS grain, count(*) AS n FROM orders GROUP BY 1, 2, 3),
+r AS (SELECT *, sum(n) OVER (PARTITION BY t, c) AS a FROM v WHERE grain IS NOT NULL)
+SELECT t AS "table", c AS "column", grain FROM r WHERE 2 * n > a""",
+    "i_join_kinds": """
+WITH u AS (SELECT 't' || (l_linenumber % 4) AS l, 't' || (l_linenumber % 3 + 4) AS r, l_returnflag = 'N' AS o FROM lineitem)
+SELECT l AS "left", r AS "right", count(*) FILTER (o) > count(*) FILTER (NOT o) AS "outer" FROM u GROUP BY 1, 2""",
     "a_log_groups": "SELECT user_id, event_type, date_trunc('week', ts)::DATE AS week, count(*) AS jobs, count(*) FILTER (event_type = 'error') AS errors, round(sum(value), 4) AS total, min(ts) AS first_seen, max(ts) AS last_seen, count(DISTINCT ts::DATE) AS n_days FROM events GROUP BY 1, 2, 3",
     "a_principal_profiles": """
 WITH b AS (SELECT user_id, count(*) AS jobs, count(DISTINCT ts::DATE) AS active_days, count(*) FILTER (dayofweek(ts) IN (0, 6)) AS weekend_jobs,
@@ -138,5 +214,5 @@ WITH s AS (SELECT DISTINCT user_id, event_type || '/' || day(ts) AS item FROM ev
 p AS (SELECT x.user_id AS a, y.user_id AS b, count(*) AS c FROM s x JOIN s y ON x.item = y.item AND x.user_id < y.user_id GROUP BY 1, 2)
 SELECT a, b, c / (m.n + k.n - c) AS jaccard FROM p JOIN n m ON m.user_id = a JOIN n k ON k.user_id = b WHERE c / (m.n + k.n - c) >= 0.2""",
 }
-QUERIES |= more_queries.QUERIES | evidence_queries.QUERIES
-SQL |= more_queries.SQL | evidence_queries.SQL
+QUERIES |= more_queries.QUERIES | evidence_queries.QUERIES | process_queries.QUERIES | log_queries.QUERIES | context_queries.QUERIES
+SQL |= more_queries.SQL | evidence_queries.SQL | process_queries.SQL | log_queries.SQL | context_queries.SQL

@@ -5,6 +5,8 @@ import itertools
 
 from pyspark.sql import functions as F
 
+import numpy as np
+
 from loomgraph.operators import communities as C
 from loomgraph.operators import evidence as E
 from loomgraph.streaming import usage as S
@@ -78,3 +80,11 @@ def test_odd_rows(spark):
     shapes = spark.createDataFrame([(1, "secret"), (2, None), (3, "open")], "s int, t string")
     parts = spark.createDataFrame([(1, "p"), (2, "p"), (4, "p")], "s int, part string")
     assert {r[0] for r in E.readable_shapes(shapes, parts, parts.select("part"), "s", "part", "t", "secret").collect()} == {2}
+
+
+def test_communities_are_the_same_on_the_driver_and_in_joins(spark):
+    rng = np.random.default_rng(8)
+    edges = [(int(a), int(b), int(rng.integers(1, 4))) for g in range(6) for a, b in rng.integers(g * 9, g * 9 + 9, (30, 2))] + [(g * 9, (g * 9 + 9) % 54, 1) for g in range(6)]
+    df = spark.createDataFrame(edges, "a int, b int, n int")
+    small, large = (sorted(map(tuple, C.communities(df, small=n).collect())) for n in (10**6, 0))
+    assert small == large and 4 <= len({c for _, c in small}) <= 10

@@ -3,6 +3,7 @@
 import itertools
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
@@ -23,7 +24,7 @@ def test_absorbing_chain_solves_its_equations(spark):
     talks = [list(g) for _, g in itertools.groupby(rows, key=lambda r: r[0])]
     for talk in talks:
         for x, y in itertools.pairwise(talk):
-            move[at[x[4]], at[y[4]]] += 1
+            move[at[x[4]], at[y[4]]] += x[2] != y[2]  # a turn after one of its own kind is no transition
         fin[at[talk[-1][4]]] += 1
         good[at[talk[-1][4]]] += talk[-1][3][1] < "8"
     base = good.sum() / len(talks)
@@ -38,6 +39,26 @@ def test_absorbing_chain_of_nothing(spark):
     assert P.absorbing_chain(steps).collect() == []
 
 
+def made(spark, *talks):
+    """Steps of conversations, each a text of one letter a turn: upper case for actions, lower case for states; x1 ends good."""
+    rows = [(c, i, "action" if x.isupper() else "state", "00" if good else "0f", x) for c, (talk, good) in enumerate(talks) for i, x in enumerate(talk)]
+    return spark.createDataFrame(rows, "conv_id int, turn int, kind string, digest string, element string")
+
+
+@pytest.mark.parametrize("small", [5000, 1])
+def test_absorbing_chain_by_hand(spark, small):
+    chance = lambda *talks: {r["element"]: round(r["chance"], 6) for r in P.absorbing_chain(made(spark, *talks), prior=0.0, small=small).collect()}
+    assert chance(("AsXg", True), ("AsXb", False)) == {"A": 0.5, "s": 0.5, "X": 0.5, "g": 1.0, "b": 0.0}
+    assert chance(("AsXsXs", True), ("As", True)) == {"A": 1.0, "s": 1.0, "X": 1.0}
+    assert chance(("ABg", True), ("Ab", False)) == {"A": 0.0, "B": 1.0, "g": 1.0, "b": 0.0}  # A to B is no transition
+
+
+def test_an_unsettled_chain_is_an_error(spark):
+    for small in (5000, 1):
+        with pytest.raises(ValueError, match="not settled"):
+            P.absorbing_chain(made(spark, ("sXsXsXsXsXsX", True), ("sXsXsXsXsXsXs", False)), rounds=1, small=small)
+
+
 def test_running_totals_with_groups_nulls_and_few_values(spark):
     rows = [(g, v, n) for g in ("a", "b", None) for v, n in ((None, 2), (1.0, 3), (1.5, 1), (9.0, 4))]
     df = spark.createDataFrame(rows, "g string, v double, n long")
