@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import ascii_lower, scratch, stored, table
+from loomgraph.llm.common import ascii_lower, scratch, split_by, stored, table
 
 #: A chunk ends after the first full stop or line end past MIN code points, at MAX otherwise.
 MIN, MAX = 512, 4096
@@ -71,14 +71,19 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", hex_digits:
 
 
 def kept(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns; of rows that repeat a kept key and its text, one."""
-    with scratch(docs.sparkSession):
-        stay = dedup(docs, key, text).filter("kept").groupBy("doc_id", F.unhex("text_sha256").alias("sha")).agg(F.count("*").alias("rows"))
-        stay = stored(stay, "kept", keep=True)
+    """The rows of docs that stay, with all their columns; of rows that repeat a kept key and its text, one.
+
+    Null keys and texts are judged as by dedup(); an empty table stays empty. Only rows that go, or repeat one that
+    stays, are named, and only rows that may be one of those move.
+    """
     sha = F.unhex(F.sha2(ascii_lower(F.col(text)), 256))
-    of = stay.select(F.col("doc_id").alias("__stay"), F.col("sha").alias("__sha"))
-    left = docs.join(of, F.col(key).eqNullSafe(F.col("__stay")) & (sha == F.col("__sha")), "left_semi")
-    return left if stay.filter("rows > 1").isEmpty() else left.withColumn("__sha", sha).dropDuplicates([key, "__sha"]).drop("__sha")
+    with scratch(docs.sparkSession):
+        rows = dedup(docs, key, text).filter("group_size > 1").groupBy("doc_id", F.unhex("text_sha256").alias("sha"))
+        named = stored(rows.agg(F.min("kept").alias("kept"), F.count("*").alias("rows")).filter("not kept or rows > 1"), "named", keep=True)
+    others, maybe = split_by(docs, [F.col(key)], named, ["doc_id"])
+    gone = named.filter("not kept").select(F.col("doc_id").alias("__gone"), F.col("sha").alias("__of")).hint("shuffle_hash")
+    stay = maybe.withColumn("__sha", sha).join(gone, F.col(key).eqNullSafe(F.col("__gone")) & (F.col("__sha") == F.col("__of")), "left_anti")
+    return others.unionByName(stay.dropDuplicates([key, "__sha"]).drop("__sha"))
 
 
 def op10_chunk_recipe_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
