@@ -7,12 +7,13 @@ coordinates; a signature keeps the earliest dart of each coordinate. Two documen
 probability of their weighted Jaccard similarity. Ranks are thrown in blocks from below until every coordinate has a
 dart, so a document of n shingles costs about max(n, k ln k) darts, whatever k.
 
-Bands of ROWS coordinates are joined on their hashes. Equal texts are one node. In a bucket every node is paired with
-three hubs (the smallest id and the least of two hashes), never with all others; pairs are confirmed by the exact Jaccard similarity of their shingle
-sets, and links are closed to classes. Buckets that still hold several classes then pair each node with hubs of other
-classes, new ones each round, until a round finds no link; a round merges classes by their labels alone. At last every
-pair of different classes that still shares a bucket is confirmed, in blocks of a bucket's salted groups: a pair that
-shares a band is in one class, or was compared.
+Bands of ROWS coordinates are joined on their hashes. Equal texts are one node. The hub of a bucket is its node that
+shares buckets with most others, so the base of a family of copies rather than one of them. Each node meets one hub, not all others; pairs whose
+signatures or sizes rule similarity out go before any text moves, the rest are confirmed by the exact Jaccard
+similarity of their shingle sets, and links are closed to classes. Buckets that still hold several classes pair each
+node with a hub of another class, until a round finds few links; a round merges classes by their labels alone. At last
+the signatures of every pair of different classes that still shares a bucket are compared, in blocks of a bucket's
+salted groups, and what they leave is confirmed: a pair that shares a band is in one class, or was compared.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from loomgraph.llm.common import scratch, stored, table
+from loomgraph.llm.common import scratch, split_by, stored, table, without
 from loomgraph.llm.hashing import Rolling, U, WordHashes, mix
 
 WORDS, SIMILAR = 5, 0.8
@@ -37,9 +39,14 @@ NONE = np.iinfo(np.uint64).max
 #: P(a cell of unit area has at most i darts), as 64-bit thresholds.
 POISSON = np.minimum(np.cumsum([np.exp(-1) / np.prod(np.arange(1.0, i + 1)) for i in range(12)]) * 2.0**64, 2.0**64 - 4096).astype(U)
 #: Cells thrown at once, and shingle sets a worker remembers while confirming pairs.
-CELLS, REMEMBERED = 1 << 20, 256
-#: Members of a salted group; two groups of a bucket are compared at once. Members dealt out in one pass, if nodes are fewer.
-GROUP, LEAST_PASS = 256, 10_000
+CELLS, REMEMBERED = 1 << 18, 256
+#: Members of a salted group; two groups of a bucket are compared at once. Texts dealt out in one pass, if nodes are fewer;
+#: signatures are dealt out eight times as many at once.
+GROUP, LEAST_PASS = 256, 100_000
+#: How many standard deviations below the similarity a signature's estimate may lie before its pair is ruled out.
+MARGIN = 4.5
+#: Rounds end when fewer than one of so many pairs is a link; the pass over all pairs finds what is left.
+FEW = 50
 
 
 class Shingles:
@@ -95,7 +102,10 @@ def bands(signatures: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def signed(docs: DataFrame, words: int = WORDS, weights: str = "set") -> DataFrame:
-    """(doc_id, copy, bands) of docs (doc_id, text): 128 bits of its words, and its band hashes; both null without words."""
+    """(doc_id, copy, sig, size, bands) of docs (doc_id, text); all but doc_id null without words.
+
+    copy: 128 bits of its words; sig: one byte a coordinate; size: its distinct shingles; bands: the band hashes.
+    """
     if weights not in ("set", "count"):
         raise ValueError("weights: set or count")
 
@@ -115,15 +125,42 @@ def signed(docs: DataFrame, words: int = WORDS, weights: str = "set") -> DataFra
                 doc = np.repeat(np.arange(len(size)), size)
                 full = np.array([bool(n) for n in size])
                 index = np.cumsum(full) - 1
-                got = bands(throw(np.concatenate(elements), np.concatenate(weight), index[doc] if len(doc) else doc, int(full.sum())))
+                thrown = throw(np.concatenate(elements), np.concatenate(weight), index[doc] if len(doc) else doc, int(full.sum()))
+                got, low = bands(thrown), thrown.astype(np.uint8)
                 keys = [got[index[i]].view(np.int64) if full[i] else None for i in range(len(size))]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(copies, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "copy", "bands"])
+                sig = [low[index[i]].tobytes() if full[i] else None for i in range(len(size))]
+                cols = [b.column(0), pa.array(copies, pa.binary()), pa.array(sig, pa.binary()), pa.array(size, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "copy", "sig", "size", "bands"])
+
+    return docs.mapInArrow(run, "doc_id long, copy binary, sig binary, size int, bands array<long>")
+
 
-    return docs.mapInArrow(run, "doc_id long, copy binary, bands array<long>")
+def least_agreement(similar: float, k: int = COORDINATES) -> int:
+    """Coordinates that two signatures of that similarity agree on at least, but for MARGIN standard deviations."""
+    return max(0, int(np.ceil(k * similar - MARGIN * np.sqrt(k * similar * (1 - similar)))))
+
+
+def sizes_fit(m, n, similar: float):
+    """Whether sets of m and n elements can have that similarity; numbers, arrays or columns."""
+    return (m >= similar * n) & (n >= similar * m)
+
+
+def likely(pairs: DataFrame, reps: DataFrame, similar: float) -> DataFrame:
+    """The pairs (a, b) that sizes and signatures don't rule out."""
+    least = least_agreement(similar)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            p, q = (np.frombuffer(b"".join(x.column(c).to_pylist()), np.uint8).reshape(x.num_rows, -1) for c in (2, 3))
+            yield x.select([0, 1]).filter(pa.array((p == q).sum(axis=1) >= least, pa.bool_()))
+
+    side = lambda key, sig, size: reps.select(F.col("node").alias(key), F.col("sig").alias(sig), F.col("size").alias(size)).hint("shuffle_hash")
+    both = pairs.join(side("a", "p", "m"), "a").join(side("b", "q", "n"), "b").filter(sizes_fit(F.col("m"), F.col("n"), similar))
+    return both.select("a", "b", "p", "q").mapInArrow(run, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int, similar: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have the Jaccard similarity `similar` or more."""
+    """The pairs (a, b), a stored table, whose shingle sets have the Jaccard similarity `similar` or more; few other texts move."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, known = Shingles(words), {}
@@ -144,8 +181,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, similar: float) ->
                 linked.append(both >= similar * (len(p) + len(q) - both))
             yield b.select([0, 1]).filter(pa.array(linked, pa.bool_()))
 
-    left = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("s"))
-    right = docs.select(F.col("doc_id").alias("b"), F.col("text").alias("t"))
+    _, left = split_by(docs.select(F.col("doc_id").alias("a"), F.col("text").alias("s")), [F.col("a")], pairs.select("a").distinct(), ["a"])
+    _, right = split_by(docs.select(F.col("doc_id").alias("b"), F.col("text").alias("t")), [F.col("b")], pairs.select("b").distinct(), ["b"])
     return pairs.hint("shuffle_hash").join(left, "a").hint("shuffle_hash").join(right, "b").select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
 
 
@@ -163,80 +200,115 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
-def hub_pairs(buckets: DataFrame) -> DataFrame:
-    """(a, b), a < b: the members of each bucket (band, key, node) with its hubs."""
-    salted = [F.min(F.struct(F.xxhash64("node", F.lit(s)), "node"))["node"] for s in (1, 2)]
-    hubs = buckets.groupBy("band", "key").agg(F.array_distinct(F.array(F.min("node"), *salted)).alias("hubs"))
-    met = buckets.join(hubs, ["band", "key"]).select("node", F.explode("hubs").alias("hub")).filter("node <> hub")
-    return met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+def hub_pairs(buckets: DataFrame, similar: float) -> DataFrame:
+    """(a, b): each node b of buckets (band, key, node, size, deg) with the best of the hubs of its buckets, a."""
+    hubs = buckets.groupBy("band", "key").agg(F.max(F.struct("deg", -F.col("node"), "size")).alias("h")).select("band", "key", "h.deg", (-F.col("h.col2")).alias("hub"), F.col("h.size").alias("n"))
+    met = buckets.drop("deg").join(hubs, ["band", "key"]).filter((F.col("node") != F.col("hub")) & sizes_fit(F.col("size"), F.col("n"), similar))
+    return met.groupBy(F.col("node").alias("b")).agg(F.max(F.struct("deg", -F.col("hub"))).alias("h")).select((-F.col("h.col2")).alias("a"), "b")
 
 
-def cross_pairs(buckets: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """(a, b), a < b: in buckets that hold several classes, members with a hub of the classes next to theirs."""
+def cross_pairs(buckets: DataFrame, labels: DataFrame, turn: int, similar: float) -> DataFrame:
+    """(a, b): in buckets that hold several classes, each node with a hub of a class that isn't its own."""
     named = buckets.join(labels, "node")
-    classes = named.groupBy("band", "key", "label").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node"))["node"].alias("hub"))
-    mixed = classes.groupBy("band", "key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("label", F.lit(turn)), "label", "hub")).alias("one"), F.min(F.struct(F.xxhash64("label", F.lit(-turn)), "label", "hub")).alias("two"))
-    hubs = mixed.filter("n > 1").select("band", "key", F.explode(F.array("one", "two")).alias("h"))
-    met = named.join(hubs, ["band", "key"]).filter(F.col("label") != F.col("h.label")).select("node", F.col("h.hub").alias("hub"))
-    return met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    classes = named.groupBy("band", "key", "label").agg(F.max(F.struct("deg", -F.col("node"), "size")).alias("h"))
+    mixed = classes.groupBy("band", "key").agg(F.count("*").alias("n"), F.max(F.struct("h", "label")).alias("one"), F.max(F.struct(F.xxhash64("label", F.lit(turn)), "h", "label")).alias("two"))
+    two = F.struct(F.col("two.h").alias("h"), F.col("two.label").alias("label"))
+    hubs = mixed.filter("n > 1").select("band", "key", F.explode(F.array("one", two)).alias("o"))
+    met = named.join(hubs, ["band", "key"]).filter((F.col("label") != F.col("o.label")) & sizes_fit(F.col("size"), F.col("o.h.size"), similar))
+    hub = -F.col("o.h.col2")
+    best = met.groupBy("node").agg(F.max(F.struct(F.xxhash64(hub, F.lit(turn)), hub.alias("hub")))["hub"].alias("hub"))
+    return best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
-def block_links(members: DataFrame, words: int, similar: float) -> DataFrame:
-    """The similar pairs (a, b) of different labels, a < b, of members (band, key, i, j, salt, node, label, bands, text).
+MEMBER = "band int, key long, i string, j string, alone boolean, salt boolean, node long, label long, size int, sig binary"
 
-    A block is all rows of a (band, key, i, j): group i of a bucket against its group j; salt is a member's own group.
-    Pairs that share an earlier band are left to that one.
-    """
+MEMBER_COLUMNS = [c.split()[0] for c in MEMBER.split(", ")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, held, last = Shingles(words), [], None
-
-        def links() -> Iterator[tuple[int, int]]:
-            band, alone = last[0], last[3]
-            first = np.array([m[0] for m in held], bool)
-            node, label = (np.array([m[c] for m in held], np.int64) for c in (1, 2))
-            keys, sets = np.array([m[3] for m in held], np.int64), [m[4] for m in held]
-            size, left = np.array([len(s) for s in sets]), np.flatnonzero(first)
-            right = left if alone else np.flatnonzero(~first)
-            for x in left:
-                y = right[right > x] if alone else right
-                y = y[(label[y] != label[x]) & (node[y] != node[x])]
-                y = y[np.minimum(size[y], size[x]) >= similar * np.maximum(size[y], size[x])]
-                y = y[(keys[y] == keys[x]).argmax(axis=1) == band]
-                for z in y:
-                    both = len(np.intersect1d(sets[x], sets[z], assume_unique=True))
-                    if both >= similar * (size[x] + size[z] - both):
-                        yield min(node[x], node[z]), max(node[x], node[z])
-
-        def batch() -> pa.RecordBatch:
-            found = list(links())
-            return pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in (0, 1)], ["a", "b"])
 
-        for b in batches:
-            block = list(zip(*(b.column(c).to_pylist() for c in range(4)), strict=True))
-            of = [b.column(c).to_pylist() for c in range(4, 8)]
-            for n, at in enumerate(block):
-                if at != last:
-                    if held:
-                        yield batch()
-                    held, last = [], at
-                held.append((*(c[n] for c in of), np.unique(shingles.of(b.column(8)[n].as_py())[1])))
-        if held:
-            yield batch()
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows (MEMBER, and what follows) of each block, of batches sorted by block."""
+    held, last = [], None
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if row[:4] != last:
+                if len(held) > 1:
+                    yield held
+                held, last = [], row[:4]
+            held.append(row)
+    if len(held) > 1:
+        yield held
+
 
+def block_pairs(block: list[tuple], similar: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(x, ys): each member of a block with the likely ones of the members after it that have another label.
+
+    A pair belongs to the first band that it shares; blocks of other bands leave it out.
+    """
+    band, alone = block[0][0], block[0][4]
+    first, label, size = (np.array([m[c] for m in block]) for c in (5, 7, 8))
+    sig = np.frombuffer(b"".join(m[9] for m in block), np.uint8).reshape(len(block), BANDS, ROWS)
+    left, agree = np.flatnonzero(first), least_agreement(similar)
+    right = left if alone else np.flatnonzero(~first)
+    for x in left:
+        y = right[right > x] if alone else right
+        y = y[(label[y] != label[x]) & sizes_fit(size[x], size[y], similar)]
+        same = sig[y] == sig[x]
+        y = y[(same.sum(axis=(1, 2)) >= agree) & (same.all(axis=2).argmax(axis=1) == band)]
+        if len(y):
+            yield x, y
+
+
+def dealt_out(members: DataFrame) -> DataFrame:
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     at = ["band", "key", "i", "j"]
-    block = members.withColumn("alone", F.col("i") == F.col("j")).withColumn("salt", F.col("salt") == F.col("i"))
-    block = block.withColumn("groups", F.to_json(F.struct("i", "j")))
-    dealt = block.repartition(n, *at).sortWithinPartitions(*at)
-    return dealt.select("band", "key", "groups", "alone", "salt", "node", "label", "bands", "text").mapInArrow(run, "a long, b long")
+    return members.repartition(n, *at).sortWithinPartitions(*at)
+
+
+def block_members(members: DataFrame, similar: float) -> DataFrame:
+    """Those of members (MEMBER) that have a likely partner in their block.
+
+    A block is all rows of a (band, key, i, j): group i of a bucket against its group j; salt says whether a member is
+    of group i, alone whether the two are one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = None
+        for block in blocks(batches):
+            met = sorted({int(z) for x, y in block_pairs(block, similar) for z in (x, *y)})
+            if met:
+                schema = schema or pa.schema([("band", pa.int32()), ("key", pa.int64()), ("i", pa.string()), ("j", pa.string()), ("alone", pa.bool_()), ("salt", pa.bool_()), ("node", pa.int64()), ("label", pa.int64()), ("size", pa.int32()), ("sig", pa.binary())])
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*(block[m] for m in met), strict=True), schema)], schema=schema)
+
+    return dealt_out(members).select(*MEMBER_COLUMNS).mapInArrow(run, MEMBER)
+
+
+def block_links(members: DataFrame, texts: DataFrame, words: int, similar: float) -> DataFrame:
+    """Links (a, b), a < b, that join the members (MEMBER, a stored table) of each block as all its similar pairs would."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(words)
+        for block in blocks(batches):
+            sets, label, found = [np.unique(shingles.of(m[10])[1]) for m in block], np.array([m[7] for m in block]), []
+            for x, ys in block_pairs(block, similar):
+                for y in ys:
+                    if label[x] != label[y]:
+                        both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                        if both >= similar * (len(sets[x]) + len(sets[y]) - both):
+                            found.append(sorted((block[x][6], block[y][6])))
+                            label[label == label[y]] = label[x]
+            yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in (0, 1)], ["a", "b"])
+
+    _, held = split_by(texts.select(F.col("doc_id").alias("n"), "text"), [F.col("n")], members.select("node").distinct(), ["node"])
+    whole = members.join(held.dropDuplicates(["n"]).hint("shuffle_hash"), F.col("node") == F.col("n"))
+    return dealt_out(whole).select(*MEMBER_COLUMNS, "text").mapInArrow(run, "a long, b long").distinct()
 
 
 def settled(labels: DataFrame, buckets: DataFrame, reps: DataFrame, texts: DataFrame, words: int, similar: float) -> DataFrame:
     """labels after all pairs of different labels that share a bucket are compared.
 
     A bucket's classes of over GROUP members have groups of their own, which never meet each other; the others share
-    groups. A pass deals out about as many members as there are nodes at most, and later ones leave out buckets that
+    groups. A pass deals out the signatures of eight times as many members as there are nodes at most, and the texts of those
+    alone that have a likely partner, in turns of one text a node at most; later passes leave out buckets that
     have become one class.
     """
     at, named = ["band", "key"], buckets.join(labels, "node")
@@ -247,7 +319,8 @@ def settled(labels: DataFrame, buckets: DataFrame, reps: DataFrame, texts: DataF
     shares = each.groupBy(*at, "part").agg(F.ceil(F.sum("n") / GROUP).cast("int").alias("m"), F.sum("n").alias("n"))
     parts = stored(shares.join(mixed, at).groupBy(*at).agg(F.collect_list(F.struct("part", "m", "n")).alias("parts")), "parts")
     met = F.aggregate("parts", F.lit(0).cast("long"), lambda a, x: a + x["n"] * F.aggregate("parts", F.lit(0), lambda c, y: c + F.when(x["part"]["big"] & (x["part"] == y["part"]), 0).otherwise(y["m"])))
-    passes = -(-(parts.agg(F.sum(met)).first()[0] or 0) // max(LEAST_PASS, reps.count()))
+    most = max(LEAST_PASS, reps.count())
+    passes = -(-(parts.agg(F.sum(met)).first()[0] or 0) // (8 * most))
     big = each.filter("part.big").select(*at, F.col("label").alias("first_label"), F.col("part").alias("own"))
     first = labels.withColumnRenamed("label", "first_label")
     for p in range(passes):
@@ -264,10 +337,14 @@ def settled(labels: DataFrame, buckets: DataFrame, reps: DataFrame, texts: DataF
         dealt = members.select(*at, "node", mine.alias("me"), F.explode(groups).alias("other"))
         dealt = dealt.select(*at, F.least("me", "other").alias("i"), F.greatest("me", "other").alias("j"), F.col("me").alias("salt"), "node")
         dealt = dealt.filter(F.pmod(F.xxhash64(*at, "i", "j"), F.lit(passes)) == p).join(labels, "node")
-        whole = dealt.join(reps.select("node", "bands"), "node").join(texts.select(F.col("doc_id").alias("node"), "text"), "node")
-        found = stored(block_links(whole, words, similar), "links")
-        if not found.isEmpty():
-            labels = merged(labels, found)
+        dealt = dealt.join(reps.select("node", "size", "sig").hint("shuffle_hash"), "node")
+        dealt = dealt.withColumn("alone", F.col("i") == F.col("j")).withColumn("salt", F.col("salt") == F.col("i")).withColumns({c: F.to_json(c) for c in "ij"})
+        likely_ones = stored(block_members(dealt, similar), "members")
+        turns = -(-likely_ones.count() // most)
+        for t in range(turns):
+            some = likely_ones.filter(F.pmod(F.xxhash64(*at, "i", "j"), F.lit(turns)) == t)
+            found = stored(block_links(some, texts, words, similar), "links")
+            labels = labels if found.isEmpty() else merged(labels, found)
     return labels
 
 
@@ -291,21 +368,20 @@ def labelled(rows: DataFrame, words: int, similar: float, weights: str) -> DataF
     """(doc_id, class_id) of rows (doc_id, text)."""
     sig = stored(signed(rows, words, weights), "signatures")
     held = sig.filter("doc_id is not null and copy is not null")
-    reps = stored(held.groupBy("copy").agg(F.min(F.struct("doc_id", "bands")).alias("m")).select("copy", F.col("m.doc_id").alias("node"), "m.bands"), "nodes")
-    dealt = reps.select("node", F.posexplode("bands").alias("band", "key"))
+    reps = stored(held.groupBy("copy").agg(F.min(F.struct("doc_id", "sig", "size", "bands")).alias("m")).select("copy", F.col("m.doc_id").alias("node"), "m.sig", "m.size", "m.bands"), "nodes")
+    dealt = reps.select("node", "size", F.posexplode("bands").alias("band", "key"))
     texts = rows.filter("doc_id is not null")
-    buckets = stored(dealt.join(dealt.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), ["band", "key"]), "buckets")
+    many = dealt.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    buckets = stored(dealt.join(many, ["band", "key"]).withColumn("deg", F.sum("n").over(W.partitionBy("node"))).drop("n"), "buckets")
     labels = stored(buckets.select("node", F.col("node").alias("label")).distinct(), "labels")
-    tried = pairs = stored(hub_pairs(buckets), "pairs")
+    pairs = stored(likely(hub_pairs(buckets, similar), reps, similar), "pairs")
     for turn in count(1):
         found = stored(confirmed(pairs, texts, words, similar), "links")
-        if found.isEmpty():
-            break
-        labels = merged(labels, found)
-        pairs = stored(cross_pairs(buckets, labels, turn).join(tried, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
+        links = found.count()
+        labels = merged(labels, found) if links else labels
+        if FEW * links < pairs.count() or not links:
             break
-        tried = tried.union(pairs)
+        pairs = stored(likely(cross_pairs(buckets, labels, turn, similar), reps, similar), "pairs")
     labels = settled(labels, buckets, reps, texts, words, similar)
     of = reps.select("copy", "node").join(labels, "node", "left").select("copy", F.coalesce("label", "node").alias("class_id"))
     return sig.select("doc_id", "copy").join(of, "copy", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
@@ -331,8 +407,8 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         rows = docs.join(own, (F.col(key) == F.col("__id")) & (F.xxhash64(text) == F.col("__h")), "left")
         gone = classes(rows.select("__node", text), "__node", text).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
         return rows.join(gone, F.col("__node") == F.col("__gone"), "left_anti").select(*docs.columns)
-    gone = classes(docs, key, text).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(key) == F.col("__gone"), "left_anti")
+    gone = stored(classes(docs, key, text).filter("not kept").select("doc_id").distinct(), "gone", keep=True)
+    return without(docs, [F.col(key).cast("long")], gone, ["doc_id"])
 
 
 def op1_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
