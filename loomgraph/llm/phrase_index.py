@@ -1,10 +1,9 @@
 """Benchmark decontamination over a positional inverted index.
 
-The index holds training token postings: term, document, position, and the tokens around that position. Which terms
-need postings, the benchmark decides: each of its windows is looked up by its rarest term, rarity counted over the
-whole corpus. A posting enters when the posting list of the window's second-rarest term, shifted by the distance of
-the two, has it as well; the other terms are then compared in place, from the stored tokens. The benchmark is the
-stated query set, broadcast in blocks of a fixed size against all documents.
+The index holds training token postings: term, document, position. Which terms need lists, the benchmark decides: each
+of its windows is looked up by its two rarest terms, rarity counted over the whole corpus. The list of the rarest,
+shifted by the distance of the two, is intersected with the list of the second-rarest; what both hold are candidates,
+and the tokens around these, read from the documents that have any, are compared with the window in place.
 """
 
 from __future__ import annotations
@@ -13,13 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from loomgraph.llm.common import ascii_lower, stored, table
+from loomgraph.llm.common import ascii_lower, split_by, stored, table, without
 
 #: Words are what stands between these, in lower-cased text and in text as it is.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BETWEEN_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 13
-#: Anchors that one scan looks up; more of them take more scans. About 100 bytes each.
+#: Terms or pairs of terms, of about 50 bytes each, that are broadcast at most; more of them are joined by shuffles.
 BLOCK = 200_000
 
 
@@ -39,19 +38,27 @@ def documents(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("h"), words(F.col(text)).alias("w"))
 
 
-def frequencies(docs: DataFrame, terms: DataFrame, key: str, text: str) -> DataFrame:
-    """(term, n): how often each of terms occurs in the corpus, counted in each task before the shuffle."""
-    n = terms.count()
+def tokens(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc_id, h, pos, term): every word of every row."""
+    return documents(docs, key, text).select("doc_id", "h", F.posexplode("w").alias("pos", "term"))
+
+
+def frequencies(docs: DataFrame, terms: DataFrame, key: str, text: str, block: int = BLOCK) -> DataFrame:
+    """(term, n): how often each of terms, a stored table, occurs in the corpus, counted in each task before the shuffle."""
     seen = documents(docs, key, text).select(F.explode("w").alias("term"))
-    return seen.join(F.broadcast(terms) if n <= BLOCK else terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    if terms.count() <= block:
+        return seen.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    _, maybe = split_by(seen, [F.col("term")], terms, ["term"])
+    return maybe.groupBy("term").agg(F.count("*").alias("n")).join(terms, "term", "left_semi")
 
 
-def anchors(queries: DataFrame, freq: DataFrame) -> DataFrame:
+def anchors(queries: DataFrame, freq: DataFrame, block: int = BLOCK) -> DataFrame:
     """Each phrase (qid, terms) with its two rarest terms: first, at (offset), second, delta (second's distance).
 
     Phrases with a term that the corpus lacks have no match and drop out; a phrase of one term has itself as second.
+    freq is a stored table.
     """
-    each = queries.select("qid", "terms", F.posexplode("terms").alias("at", "term")).join(freq, "term", "left")
+    each = queries.select("qid", "terms", F.posexplode("terms").alias("at", "term")).join(F.broadcast(freq) if freq.count() <= block else freq, "term", "left")
     ranked = each.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "at"))).alias("r"), F.first("terms").alias("terms"))
     second = F.coalesce(F.get(F.filter("r", lambda x: x["term"] != F.col("r")[0]["term"]), F.lit(0)), F.col("r")[F.size("r") - 1])
     return ranked.filter(F.col("r")[0]["n"] > 0).select(
@@ -59,54 +66,75 @@ def anchors(queries: DataFrame, freq: DataFrame) -> DataFrame:
     )
 
 
-def index(docs: DataFrame, pairs: DataFrame, reach: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The postings (first, second, delta, doc_id, h, pos, before, around) of the anchor pairs (first, second, delta).
+def postings(docs: DataFrame, terms: DataFrame | None = None, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+    """(term, doc_id, h, pos): the posting lists of terms (a stored table with a column term), or of all; repeated rows post once."""
+    seen = tokens(docs, key, text)
+    if terms is not None and terms.count() <= block:
+        seen = seen.join(F.broadcast(terms), "term", "left_semi")
+    elif terms is not None:
+        seen = split_by(seen, [F.col("term")], terms, ["term"])[1].join(terms.hint("shuffle_hash"), "term", "left_semi")
+    return seen.select("term", "doc_id", "h", "pos").distinct()
+
+
+def intersected(lists: DataFrame, pairs: DataFrame, span: int | None = None, block: int = BLOCK) -> DataFrame:
+    """(first, second, delta, doc_id, h, pos): postings of `first` with `second` at distance delta, or nearer than span either way."""
+    left = lists.withColumnRenamed("term", "first").join(F.broadcast(pairs) if pairs.count() <= block else pairs, "first")
+    right = lists.select(F.col("term").alias("t"), F.col("doc_id").alias("d"), F.col("h").alias("g"), F.col("pos").alias("p"))
+    same = (F.col("second") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")) & F.col("h").eqNullSafe(F.col("g"))
+    if span is None:
+        both = left.withColumn("want", F.col("pos") + F.col("delta")).join(right, same & (F.col("want") == F.col("p")))
+    else:
+        left = left.withColumn("cell", F.explode(F.array(*[F.expr(f"pos div {span} + {i}") for i in (-1, 0, 1)])))
+        both = left.join(right.withColumn("c", F.expr(f"p div {span}")), same & (F.col("cell") == F.col("c"))).filter(F.abs(F.col("pos") - F.col("p")) < span)
+    return both.select("first", "second", "delta", "doc_id", "h", "pos").distinct()
+
+
+def around(docs: DataFrame, hits: DataFrame, reach: int, key: str, text: str) -> DataFrame:
+    """hits, a stored table, with `around`, up to `reach` tokens on each side, and `before`, how many of them precede it."""
+    at = hits.groupBy("doc_id", "h").agg(F.collect_list(F.struct("first", "second", "delta", "pos")).alias("hits"))
+    named = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    _, held = split_by(named, [F.col("doc_id"), F.col("h")], hits.select("doc_id", "h").distinct(), ["doc_id", "h"])
+    held = held.dropDuplicates(["doc_id", "h"]).select(F.col("doc_id").alias("d"), F.col("h").alias("g"), words(F.col("text")).alias("w"))
+    both = at.join(held.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")))
+    low = lambda x: F.greatest(F.lit(0), x["pos"] - reach)
+    seen = lambda x: F.struct(x.alias("x"), (x["pos"] - low(x)).alias("before"), F.slice("w", low(x) + 1, x["pos"] + reach + 1 - low(x)).alias("around"))
+    return both.select("doc_id", "h", F.explode(F.transform("hits", seen)).alias("s")).select("s.x.*", "doc_id", "h", "s.before", "s.around")
+
+
+def candidates(docs: DataFrame, queries: DataFrame, key: str, text: str, reach: int, block: int, span: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The anchors of queries (qid, terms), and around() of what their lists have in common."""
+    terms = stored(queries.select(F.explode("terms").alias("term")).distinct(), "terms")
+    found = stored(anchors(queries, stored(frequencies(docs, terms, key, text, block), "frequencies"), block), "anchors")
+    delta = F.col("delta") if span is None else F.lit(0)
+    pairs = stored(found.select("first", "second", delta.alias("delta")).distinct(), "pairs")
+    rare = stored(pairs.select(F.explode(F.array("first", "second")).alias("term")).distinct(), "rare")
+    lists = stored(postings(docs, rare, key, text, block), "postings")
+    hits = stored(intersected(lists, pairs, span, block), "candidates")
+    return found, stored(around(docs, hits, reach, key, text), "around")
 
-    `around` holds up to `reach` tokens on each side of the posting, `before` how many of them precede it.
-    """
-    w = documents(docs, key, text).select("doc_id", "h", "w", F.posexplode("w").alias("pos", "term"))
-    hit = w.join(F.broadcast(pairs), F.col("term") == F.col("first")).filter(F.get("w", F.col("pos") + F.col("delta")) == F.col("second"))
-    low = F.greatest(F.lit(0), F.col("pos") - reach)
-    return hit.select("first", "second", "delta", "doc_id", "h", "pos", (F.col("pos") - low).alias("before"), F.slice("w", low + 1, F.col("pos") + reach + 1 - low).alias("around"))
 
+def phrase_matches(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", reach: int = WINDOW - 1, block: int = BLOCK) -> DataFrame:
+    """(qid, doc_id, h, start, length): every exact occurrence of the phrases (qid, terms) in docs; reach: the longest less one.
 
-def blocks(df: DataFrame, size: int) -> list[DataFrame]:
-    """df, stored, in parts of about `size` rows."""
-    n = df.count()
-    k = max(1, -(-n // size))
-    return [df] if k == 1 else [df.filter(F.pmod(F.xxhash64("first", "second", "delta"), F.lit(k)) == i) for i in range(k)]
+    h is the hash of the row's text; rows that repeat an id and a text have one row an occurrence together. Null texts
+    and ids, empty tables and phrases are as in decontaminate().
+    """
+    found, seen = candidates(docs, queries, key, text, reach, block)
+    start = F.col("before") - F.col("at")
+    hit = seen.join(found, ["first", "second", "delta"]).filter((start >= 0) & (F.slice("around", F.greatest(start, F.lit(0)) + 1, F.size("terms")) == F.col("terms")))
+    return hit.select("qid", "doc_id", "h", (F.col("pos") - F.col("at")).alias("start"), F.size("terms").alias("length"))
 
 
-def phrase_matches(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", reach: int = WINDOW - 1, block: int = BLOCK) -> DataFrame:
-    """(qid, doc_id, h, start, length): every exact occurrence of the phrases (qid, terms) in docs."""
-    terms = queries.select(F.explode("terms").alias("term")).distinct()
-    found = stored(anchors(queries, frequencies(docs, terms, key, text)), "anchors")
-    out = None
-    for part in blocks(found, block):
-        postings = stored(index(docs, part.select("first", "second", "delta").distinct(), reach, key, text), "postings")
-        start = F.col("before") - F.col("at")
-        hit = postings.join(part, ["first", "second", "delta"]).filter((start >= 0) & (F.slice("around", F.greatest(start, F.lit(0)) + 1, F.size("terms")) == F.col("terms")))
-        one = hit.select("qid", "doc_id", "h", (F.col("pos") - F.col("at")).alias("start"), F.size("terms").alias("length"))
-        out = one if out is None else out.union(one)
-    return out
-
-
-def proximity_matches(docs: DataFrame, queries: DataFrame, span: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+def proximity_matches(docs: DataFrame, queries: DataFrame, span: int, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """(qid, doc_id, pos): places where all terms of a query (qid, terms) stand within `span` consecutive words.
 
-    pos is that of the rarest term; it is the one looked up, the others are searched in the tokens around it.
+    pos is that of the rarest term; its list is intersected with the second-rarest's, the others are searched in the
+    tokens around. Nulls and repeated rows are as in phrase_matches().
     """
-    terms = queries.select(F.explode("terms").alias("term")).distinct()
-    found = stored(anchors(queries, frequencies(docs, terms, key, text)), "anchors")
-    out = None
-    for part in blocks(found, BLOCK):
-        own = part.select("first", F.col("first").alias("second"), F.lit(0).alias("delta")).distinct()
-        postings = stored(index(docs, own, span - 1, key, text), "postings")
-        place = lambda s: F.forall("terms", lambda t: F.array_contains(F.slice(F.col("around"), s, F.lit(span)), t))
-        near = F.exists(F.sequence(F.lit(1), F.col("before") + 1), place)
-        one = postings.join(part.select("qid", "terms", "first"), "first").filter(near).select("qid", "doc_id", "pos")
-        out = one if out is None else out.union(one)
-    return out
+    found, seen = candidates(docs, queries, key, text, span - 1, block, span)
+    place = lambda s: F.forall("terms", lambda t: F.array_contains(F.slice(F.col("around"), s, F.lit(span)), t))
+    near = F.exists(F.sequence(F.lit(1), F.col("before") + 1), place)
+    return seen.join(found.select("qid", "terms", "first", "second"), ["first", "second"]).filter(near).select("qid", "doc_id", "pos")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", length: int = WINDOW) -> DataFrame:
@@ -122,10 +150,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
 def judged(docs: DataFrame, items: DataFrame, key: str, text: str, item: str = "item_id", item_text: str = "text", length: int = WINDOW) -> DataFrame:
     """What decontaminate() returns, and the hash h of the row's text."""
     held = stored(windows(items, item, item_text, length), "windows")
-    phrases = held.groupBy("terms").agg(F.collect_set("item_id").alias("items"))
-    phrases = stored(phrases.select(F.xxhash64("terms").alias("a"), F.row_number().over(W.partitionBy(F.xxhash64("terms")).orderBy("terms")).alias("b"), "terms", "items"), "phrases")
-    phrases = phrases.select(F.struct("a", "b").alias("qid"), "terms", "items")
-    hits = stored(phrase_matches(docs, phrases.select("qid", "terms"), key, text, length - 1), "hits")
+    phrases = held.select("terms").distinct()
+    number = F.row_number().over(W.partitionBy(F.xxhash64("terms")).orderBy("terms"))
+    phrases = stored(phrases.select(F.struct(F.xxhash64("terms").alias("a"), number.alias("b")).alias("qid"), "terms"), "phrases")
+    owners = stored(held.join(phrases, "terms").select("qid", F.col("item_id").alias("item")), "owners")
+    hits = stored(phrase_matches(docs, phrases, key, text, length - 1), "hits")
     places = hits.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("places"))
 
     def sweep(a: Column, p: Column) -> Column:
@@ -133,7 +162,7 @@ def judged(docs: DataFrame, items: DataFrame, key: str, text: str, item: str = "
         return F.struct((a["n"] + F.greatest(F.lit(0), end - F.greatest(p["start"], a["end"]))).alias("n"), F.greatest(a["end"], end).alias("end"))
 
     covered = F.aggregate("places", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), sweep)["n"]
-    named = hits.select("doc_id", "h", "qid").distinct().join(phrases.select("qid", F.explode("items").alias("item")), "qid")
+    named = hits.select("doc_id", "h", "qid").distinct().join(owners, "qid")
     ids = named.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("ids"))
     both = places.select("doc_id", "h", covered.alias("n_hit")).join(ids.withColumnRenamed("doc_id", "d").withColumnRenamed("h", "g"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")))
     both = both.select(F.col("doc_id").alias("hit_id"), F.col("h").alias("hit_h"), "n_hit", "ids")
@@ -151,9 +180,9 @@ def judged(docs: DataFrame, items: DataFrame, key: str, text: str, item: str = "
 
 
 def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that are not contaminated, with all their columns."""
-    bad = judged(docs, items, key, text).filter("contaminated").select(F.col("doc_id").alias("__bad"), F.col("h").alias("__h")).distinct()
-    return docs.join(bad, F.col(key).eqNullSafe(F.col("__bad")) & (F.xxhash64(text) == F.col("__h")), "left_anti")
+    """The rows of docs that are not contaminated, with all their columns; nulls and repeated rows as in decontaminate()."""
+    bad = stored(judged(docs, items, key, text).filter("contaminated").select("doc_id", "h").distinct(), "contaminated")
+    return without(docs, [F.col(key), F.xxhash64(text)], bad, ["doc_id", "h"])
 
 
 def op6_positional_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
