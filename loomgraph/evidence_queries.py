@@ -93,13 +93,6 @@ def f_parameters(spark, d):
     return E.parameters(table(spark, d, "orders"), "o_custkey", "o_orderstatus", "o_orderpriority")
 
 
-def f_succeeds(spark, d):
-    o, li, p = table(spark, d, "orders"), table(spark, d, "lineitem"), table(spark, d, "part")
-    reads = li.join(p, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_orderkey").agg(F.collect_set("p_brand").alias("reads"))
-    asked = o.join(reads, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("person"), F.to_date("o_orderdate").alias("day"), "reads")
-    return E.succeeds(asked, 60, 0.2).withColumn("jaccard", F.round("jaccard", 6))
-
-
 def g_covered(spark, d):
     c = table(spark, d, "customer")
     edges = c.select(F.col("c_custkey").alias("x"), F.floor(F.col("c_custkey") / 3).alias("y"))
@@ -136,7 +129,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         a_home_vote, a_hash_sample, a_notes, a_source_problems, b_representative, b_review_sample, c_flows, c_weighted_values, c_frozen, d_majority_join, d_confidence, d_bridges,
-        e_stability, e_communities, f_computations, f_parameters, f_succeeds, g_covered, g_alignment, m_access, m_readable_shapes, s_tumbling, s_sessions,
+        e_stability, e_communities, f_computations, f_parameters, g_covered, g_alignment, m_access, m_readable_shapes, s_tumbling, s_sessions,
     )
 }
 
@@ -178,10 +171,6 @@ n AS (SELECT id, string_agg(p_name, ',' ORDER BY r) AS aliases FROM (SELECT *, {
 g AS (SELECT id, p_size::VARCHAR AS grain FROM (SELECT *, {TOP.format('id', 'w DESC, p_size')} FROM (SELECT id, p_size, sum(p_size) AS w FROM p GROUP BY 1, 2)) WHERE r = 1)
 SELECT id, any_value(aliases) AS aliases, any_value(grain) AS grain, sum(p_size)::BIGINT AS jobs FROM p JOIN n USING (id) JOIN g USING (id) GROUP BY 1""",
     "f_parameters": "SELECT o_custkey, o_orderstatus, count(DISTINCT o_orderpriority) AS n_values FROM orders GROUP BY 1, 2 HAVING count(DISTINCT o_orderpriority) > 1",
-    "f_succeeds": f"""
-WITH {READS}, o AS (SELECT o_orderkey AS id, o_custkey AS person, o_orderdate::DATE AS day, coalesce(reads, []) AS reads FROM orders JOIN r ON o_orderkey = l_orderkey),
-p AS (SELECT x.id AS a, y.id AS b, (y.day - x.day)::INT AS gap, len(list_intersect(x.reads, y.reads)) AS c, len(x.reads) + len(y.reads) AS n FROM o x JOIN o y ON x.person = y.person AND y.day - x.day BETWEEN 1 AND 60)
-SELECT a, b, gap, round(c / (n - c), 6) AS jaccard FROM p WHERE c / (n - c) >= 0.2""",
     "g_covered": "WITH RECURSIVE a AS (SELECT c_custkey AS node FROM customer WHERE c_acctbal > 9000 UNION SELECT c_custkey // 3 FROM a JOIN customer ON node = c_custkey) SELECT node FROM a",
     "g_alignment": f"""
 WITH d{PLACED}, u AS (SELECT o_orderkey AS part, floor(o_totalprice / 100)::BIGINT AS "group" FROM orders WHERE o_totalprice > 200000),

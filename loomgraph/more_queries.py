@@ -88,10 +88,6 @@ def e_usage_cosine(spark, d):
     return G.usage_cosine(e_coread(spark, d)).withColumn("cosine", F.round("cosine", 6))
 
 
-def j_sharing(spark, d):
-    return G.sharing(brands(spark, d), "l_orderkey", "p_brand", F.col("l_orderkey") % 100 == 0, 3)
-
-
 def h_is_unique(spark, d):
     out = None
     for name, keys in (("customer", ["c_custkey"]), ("lineitem", ["l_orderkey"]), ("lineitem", ["l_orderkey", "l_linenumber"]), ("nation", ["n_regionkey"])):
@@ -132,7 +128,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         n_lift, n_outcomes, n_empirical_odds, n_leave_one_out, n_absorbing_chain, o_nmi_ari, o_spearman, o_nearest_rank, o_calibration, o_wilson, o_edges_prf, d_components,
-        j_reach, e_coread, e_usage_cosine, j_sharing, h_is_unique, j_elect_key, e_nearest, n_closest, l_masked, k_window_start, n_element_id,
+        j_reach, e_coread, e_usage_cosine, h_is_unique, j_elect_key, e_nearest, n_closest, l_masked, k_window_start, n_element_id,
     )
 }
 
@@ -201,7 +197,6 @@ WITH RECURSIVE r AS (SELECT c_custkey AS start, c_custkey AS node, 0 AS hops FRO
 SELECT start, node, min(hops) AS hops FROM r GROUP BY 1, 2""",
     "e_coread": f"WITH {PAIRS} SELECT * FROM p",
     "e_usage_cosine": f"WITH {PAIRS}, e AS (SELECT u, sum(n)::DOUBLE AS e FROM (SELECT a AS u, n FROM p UNION ALL SELECT b, n FROM p) GROUP BY 1) SELECT a, b, round(n / sqrt(x.e * y.e), 6) AS cosine FROM p JOIN e x ON x.u = a JOIN e y ON y.u = b",
-    "j_sharing": f"WITH {BRANDS} SELECT x.l_orderkey AS a, y.l_orderkey AS b, count(*) AS shared FROM r x JOIN r y ON x.p_brand = y.p_brand AND x.l_orderkey <> y.l_orderkey WHERE x.l_orderkey % 100 = 0 GROUP BY 1, 2 HAVING count(*) >= 3",
     "h_is_unique": UNIQUE,
     "j_elect_key": """
 WITH d AS (SELECT o_orderpriority AS "table", month(o_orderdate)::INT AS "column", count(DISTINCT o_custkey) AS degree FROM orders GROUP BY 1, 2),

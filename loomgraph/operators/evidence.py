@@ -121,21 +121,6 @@ def parameters(runs: DataFrame, shape: str, column: str, value: str) -> DataFram
     return runs.groupBy(shape, column).agg(F.count_distinct(value).alias("n_values")).filter("n_values > 1")
 
 
-def succeeds(asked: DataFrame, days: int, least: float) -> DataFrame:
-    """(a, b, gap, jaccard) of asked (id, person, day, reads): b comes 1 to `days` days after a, by the same person, with like reads.
-
-    Rows meet within a person and neighbouring stretches of days alone. reads are lists without repeats; empty ones are
-    like nothing.
-    """
-    x = asked.select(F.col("id").alias("a"), "person", F.col("day").alias("da"), F.col("reads").alias("ra"), F.explode(F.array(*[F.floor(F.unix_date("day") / days) + i for i in (0, 1)])).alias("s"))
-    y = asked.select(F.col("id").alias("b"), F.col("person").alias("p"), F.col("day").alias("db"), F.col("reads").alias("rb"), F.floor(F.unix_date("day") / days).alias("t"))
-    gap = F.datediff("db", "da")
-    met = x.join(y, (F.col("person") == F.col("p")) & (F.col("s") == F.col("t")) & gap.between(1, days))
-    both = F.size(F.array_intersect("ra", "rb"))
-    out = met.select("a", "b", gap.alias("gap"), F.try_divide(both, F.size("ra") + F.size("rb") - both).alias("jaccard"))
-    return out.filter(F.col("jaccard") >= least)
-
-
 def covered(edges: DataFrame, starts: DataFrame, below: str, above: str) -> DataFrame:
     """(node): starts (node) and all that edges lead up to from them, cycles included once. Each step is written to the shared folder."""
     step, seen = edges.select(F.col(below).alias("x"), F.col(above).alias("y")).dropna().distinct(), stored(starts.select("node").dropna().distinct(), "covered")

@@ -62,13 +62,6 @@ def usage_cosine(pairs: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", (F.col("n") / F.sqrt(F.col("ea").cast("double") * F.col("eb"))).alias("cosine"))
 
 
-def sharing(links: DataFrame, key: str, over: str, asked: Column, least: int) -> DataFrame:
-    """(a, b, shared): keys b that have `least` or more of `over` in common with an asked key a, itself aside."""
-    one = links.select(key, over).dropna().distinct()
-    mine = one.filter(asked).select(F.col(key).alias("a"), over)
-    return mine.join(one.select(F.col(key).alias("b"), over), over).filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
-
-
 def is_unique(df: DataFrame, keys: list[str]) -> DataFrame:
     """(n, n_distinct, unique): whether keys name every row of a table that has rows."""
     n = df.groupBy(*keys).agg(F.count("*").alias("c")).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("n_distinct"))

@@ -78,14 +78,3 @@ def v_measure(pairs: DataFrame, a: str, b: str) -> DataFrame:
     hom = F.when(F.col("ha") == 0, 1.0).otherwise(1 - (F.col("hab") - F.col("hb")) / F.col("ha"))
     com = F.when(F.col("hb") == 0, 1.0).otherwise(1 - (F.col("hab") - F.col("ha")) / F.col("hb"))
     return h.select(hom.alias("homogeneity"), com.alias("completeness")).withColumn("v", 2 * F.col("homogeneity") * F.col("completeness") / (F.col("homogeneity") + F.col("completeness")))
-
-
-def jaccard_pairs(sets: DataFrame, key: str, item: str, least: float) -> DataFrame:
-    """(a, b, jaccard) of keys that share items, a < b."""
-    one = sets.select(key, item).distinct()
-    size = one.groupBy(key).agg(F.count("*").alias("n"))
-    x, y = one.select(F.col(key).alias("a"), item), one.select(F.col(key).alias("b"), item)
-    both = x.join(y, item).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("c"))
-    j = F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))
-    sized = both.join(size.select(F.col(key).alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col(key).alias("b"), F.col("n").alias("nb")), "b")
-    return sized.select("a", "b", j.alias("jaccard")).filter(F.col("jaccard") >= least)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomgraph import context_queries, evidence_queries, log_queries, more_queries, process_queries
+from loomgraph import answer_queries, context_queries, evidence_queries, log_queries, more_queries, process_queries
 from loomgraph.operators import ranks as R
 from loomgraph.operators import usage as U
 from loomgraph.plans.requests import Computation, Derived, Dimension, Filter, Join, Layout, Measure, Request, answer, majority_outer, week_starts
@@ -161,13 +161,8 @@ def o_auc(spark, d):
     return R.auc(o, "score", "good").select(F.round("auc", 6).alias("auc"))
 
 
-def l_jaccard_pairs(spark, d):
-    e = table(spark, d, "events").select("user_id", F.concat_ws("/", "event_type", F.dayofmonth("ts").cast("string")).alias("item"))
-    return U.jaccard_pairs(e, "user_id", "item", 0.2)
-
-
 QUERIES = {name: (lambda spark, d, r=req: answer(spark, d, STAR, r)) for name, (req, _) in REQUESTS.items()}
-QUERIES |= {f.__name__: f for f in (i_week_starts, i_join_kinds, a_log_groups, a_principal_profiles, h_top_values, n_transitions, n_smoothed_odds, k_capped_context, k_cadence, l_superseded_facts, o_v_measure, o_auc, l_jaccard_pairs)}
+QUERIES |= {f.__name__: f for f in (i_week_starts, i_join_kinds, a_log_groups, a_principal_profiles, h_top_values, n_transitions, n_smoothed_odds, k_capped_context, k_cadence, l_superseded_facts, o_v_measure, o_auc)}
 SQL = {name: sql for name, (_, sql) in REQUESTS.items()} | {
     "i_week_starts": """
 WITH v AS (SELECT o_orderstatus AS t, month(o_orderdate)::VARCHAR AS c, CASE o_orderpriority[1:1] WHEN '1' THEN 'week' WHEN '5' THEN 'week' WHEN '2' THEN 'week_monday' WHEN '3' THEN 'week_monday' END AS grain, count(*) AS n FROM orders GROUP BY 1, 2, 3),
@@ -209,10 +204,6 @@ SELECT round(x, 6) AS homogeneity, round(y, 6) AS completeness, round(2 * x * y
 WITH r AS (SELECT l_returnflag = 'R' AS good, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2 AS r FROM lineitem),
 t AS (SELECT sum(r) FILTER (good) AS s, count(*) FILTER (good)::DOUBLE AS p, count(*) FILTER (NOT good)::DOUBLE AS q FROM r)
 SELECT round((s - p * (p + 1) / 2) / (p * q), 6) AS auc FROM t""",
-    "l_jaccard_pairs": """
-WITH s AS (SELECT DISTINCT user_id, event_type || '/' || day(ts) AS item FROM events), n AS (SELECT user_id, count(*) AS n FROM s GROUP BY 1),
-p AS (SELECT x.user_id AS a, y.user_id AS b, count(*) AS c FROM s x JOIN s y ON x.item = y.item AND x.user_id < y.user_id GROUP BY 1, 2)
-SELECT a, b, c / (m.n + k.n - c) AS jaccard FROM p JOIN n m ON m.user_id = a JOIN n k ON k.user_id = b WHERE c / (m.n + k.n - c) >= 0.2""",
 }
-QUERIES |= more_queries.QUERIES | evidence_queries.QUERIES | process_queries.QUERIES | log_queries.QUERIES | context_queries.QUERIES
-SQL |= more_queries.SQL | evidence_queries.SQL | process_queries.SQL | log_queries.SQL | context_queries.SQL
+QUERIES |= more_queries.QUERIES | evidence_queries.QUERIES | process_queries.QUERIES | log_queries.QUERIES | context_queries.QUERIES | answer_queries.QUERIES
+SQL |= more_queries.SQL | evidence_queries.SQL | process_queries.SQL | log_queries.SQL | context_queries.SQL | answer_queries.SQL
