@@ -175,3 +175,40 @@ def amount_forms(amount: float) -> list[str]:
             tail = f"oh {spoken(cents)}" if cents < 10 else spoken(cents)
             out += [f"{said} dollars and {spoken(cents)} cent{'' if cents == 1 else 's'}", f"{said} {tail}", f"{said} dollars {tail}"]
     return out
+
+
+def climb(nodes: DataFrame, kind: str, key: str, vector: str, weight: str, k: int, cut: float, most: int, least_nodes: int, shrink: float, gamma: float = 1.0) -> list[DataFrame]:
+    """The levels above nodes (kind, key, vector, weight), each (kind, parent, child): communities of near ones, and of those again.
+
+    A level ends the climb when it leaves more than `shrink` of the nodes below it, there are `least_nodes` or fewer, or
+    `most` levels are made. A parent's vector is its children's weighted centre; nodes without a parent stay for the next
+    level. Coarser levels use a smaller gamma, so groups grow.
+    """
+    from loomgraph.operators.communities import communities
+    from loomgraph.operators.graph import near_links
+
+    below = nodes.select(F.col(kind).alias("kind"), F.col(key).cast("string").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(weight).cast("double").alias("w"))
+    out: list[DataFrame] = []
+    for level in range(2, most + 2):
+        below = stored(below, "nodes")
+        n = below.count()
+        if n <= least_nodes:
+            break
+        links = near_links(below, k, cut, "id", "v", "kind").filter("b is not null")
+        groups = communities(links, "a", "b", "w", gamma / max(1, level - 1))
+        made = stored(parents(below.join(groups.withColumnRenamed("node", "id"), "id"), "kind", level, "community", "id"), "parents")
+        sizes = made.agg(F.count("*").alias("children"), F.count_distinct("parent").alias("parents")).first()
+        if not sizes["children"] or n - sizes["children"] + sizes["parents"] > shrink * n:
+            break
+        out.append(made)
+        of = below.join(made.select("parent", F.col("child").alias("id")), "id")
+        centre = centroids(of, "parent", "w", "v").groupBy("parent").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))
+        new = of.groupBy("kind", "parent").agg(F.sum("w").alias("w")).join(centre, "parent").select("kind", F.col("parent").alias("id"), "v", "w")
+        below = below.join(made.select(F.col("child").alias("id")), "id", "left_anti").select("kind", "id", "v", "w").unionByName(new)
+    return out
+
+
+def group_sizes(places: DataFrame, node: str, group: str, least: int = 2) -> DataFrame:
+    """(group, n, bucket) of groups of `least` members or more; buckets by size: 2-5, 6-20, 21-100, over 100."""
+    n = places.groupBy(group).agg(F.count(node).alias("n")).filter(F.col("n") >= least)
+    return n.withColumn("bucket", F.when(F.col("n") <= 5, "2-5").when(F.col("n") <= 20, "6-20").when(F.col("n") <= 100, "21-100").otherwise("over 100"))
