@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomgraph import answer_queries, context_queries, evidence_queries, log_queries, more_queries, process_queries, source_queries
+from loomgraph import answer_queries, context_queries, evidence_queries, health_queries, log_queries, more_queries, process_queries, source_queries
 from loomgraph.operators import ranks as R
 from loomgraph.operators import usage as U
 from loomgraph.plans.requests import Computation, Derived, Dimension, Filter, Join, Layout, Measure, Request, answer, majority_outer, week_starts
@@ -205,5 +205,5 @@ WITH r AS (SELECT l_returnflag = 'R' AS good, rank() OVER (ORDER BY l_quantity)
 t AS (SELECT sum(r) FILTER (good) AS s, count(*) FILTER (good)::DOUBLE AS p, count(*) FILTER (NOT good)::DOUBLE AS q FROM r)
 SELECT round((s - p * (p + 1) / 2) / (p * q), 6) AS auc FROM t""",
 }
-QUERIES |= more_queries.QUERIES | evidence_queries.QUERIES | process_queries.QUERIES | log_queries.QUERIES | context_queries.QUERIES | answer_queries.QUERIES | source_queries.QUERIES
-SQL |= more_queries.SQL | evidence_queries.SQL | process_queries.SQL | log_queries.SQL | context_queries.SQL | answer_queries.SQL | source_queries.SQL
+QUERIES |= more_queries.QUERIES | evidence_queries.QUERIES | process_queries.QUERIES | log_queries.QUERIES | context_queries.QUERIES | answer_queries.QUERIES | source_queries.QUERIES | health_queries.QUERIES
+SQL |= more_queries.SQL | evidence_queries.SQL | process_queries.SQL | log_queries.SQL | context_queries.SQL | answer_queries.SQL | source_queries.SQL | health_queries.SQL
