@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import threading
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Spark's setting for dropping shuffle files when an execution ends.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is stored: its shuffle files go when it is written, and tasks get few whole texts in one Arrow batch.
+WHILE_STORED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -56,12 +58,14 @@ def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     spark = df.sparkSession
     top = getattr(_scratch, "path", None)
     path = f"{top if top and not keep else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    held = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")  # the shuffle files of what is now stored go when it is written
+    held = {k: spark.conf.get(k) for k in WHILE_STORED}
     try:
+        for k, v in WHILE_STORED.items():
+            spark.conf.set(k, v)
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(CLEANUP, held)
+        for k, v in held.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -76,13 +80,13 @@ def release(spark: SparkSession) -> None:
 
 
 #: Bits of the bitmap that tells rows which are surely not concerned from those that may be, and bits of one piece of it.
-BITS, PIECE = 1 << 26, 1 << 15
+BITS, PIECE = 1 << 24, 1 << 15
 
 
 def split_by(docs: DataFrame, keys: list[Column], named: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
     """(others, maybe): the rows of docs whose keys are surely not among named's columns `names`, and all the rest.
 
-    A bitmap of BITS hash bits of the named keys (8 MiB at most, whatever the input) is broadcast, so others pass
+    A bitmap of BITS hash bits of the named keys (2 MiB at most, whatever the input) is broadcast, so others pass
     without moving. The more is named, the more of docs is in maybe; no row is in both or in neither. Keys are
     compared with nulls equal. docs is read twice and should be a stored table.
     """
@@ -99,11 +103,19 @@ def split_by(docs: DataFrame, keys: list[Column], named: DataFrame, names: list[
 def without(docs: DataFrame, keys: list[Column], gone: DataFrame, names: list[str]) -> DataFrame:
     """The rows of docs whose keys are not among gone's columns `names` (nulls equal); only rows that may be are moved."""
     others, maybe = split_by(docs, keys, gone, names)
-    said = gone.select(*[F.col(n).alias(f"__gone{i}") for i, n in enumerate(names)]).hint("shuffle_hash")
+    said = gone.select(*[F.col(n).alias(f"__gone{i}") for i, n in enumerate(names)]).hint("merge")
     same = [k.eqNullSafe(F.col(f"__gone{i}")) for i, k in enumerate(keys)]
     return others.unionByName(maybe.join(said, reduce(Column.__and__, same), "left_anti"))
 
 
+def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """batches, after the last of which a worker gives what it has freed back to the machine, as it may idle for long."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else; null is empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)

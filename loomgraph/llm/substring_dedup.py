@@ -4,7 +4,8 @@ Of the phrases of PHRASE words in a window of 50 words, one has the least hash;
 the same place. So a window can only recur where its phrase does. Phrases that stand in two documents at least are
 confirmed by grouping their very texts. Documents are dealt into shards; each shard compiles an Aho-Corasick automaton over the
 confirmed phrases of its documents and streams those through it, whole texts, to locate every occurrence. Windows
-whose phrase was located are grouped by a 96-bit hash of their words, which gives the first document of each.
+whose phrase was located are grouped by 96 bits of XXH3 over their very words, as bytes with one blank between two,
+which gives the first document of each. (Two of n different windows meet by chance with probability n * n / 2**97.)
 
 Phrases reach a shard only if one of its documents has them, so automata stay as large as a shard, at any input size.
 """
@@ -17,11 +18,13 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from loomgraph.llm.common import scratch, size_bytes, stored, table
-from loomgraph.llm.hashing import Rolling, U, mix, sliding_min, word_hashes
+from loomgraph.llm.common import freed, scratch, size_bytes, stored, table
+from loomgraph.llm.hashing import Rolling, U, sliding_min, word_hashes
 
 WINDOW, PHRASE = 50, 10
 #: Bytes of input files that a shard stands for.
@@ -33,26 +36,32 @@ class Reader:
 
     def __init__(self, window: int, phrase: int):
         self.window, self.phrase = window, phrase
-        self.phrases, self.first, self.second = Rolling(0x9E3779B97F4A7C15), Rolling(0xC2B2AE3D27D4EB4F), Rolling(0xD6E8FEB86659FD93)
+        self.phrases = Rolling(0x9E3779B97F4A7C15)
 
-    def read(self, text: str | None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """words, their hashes (none of a text shorter than a window), and the phrase of least hash of each window.
+    def read(self, text: str | None) -> tuple[list[bytes], np.ndarray]:
+        """words, and the position of the phrase of least hash of each window.
 
-        A phrase is given by its position. Positions are the low bits of what is compared, so of equal hashes the
-        first phrase is taken, in every document alike.
+        32 bits of a phrase's hash are compared, above its position: of equal ones the first phrase of the window is
+        taken, in every document alike.
         """
         data = (text or "").encode()
         words = data.split()
         h = word_hashes(data) if len(words) >= self.window else np.zeros(0, U)
         g = self.phrases.windows(h, self.phrase)
-        bits = U(max(1, len(g).bit_length()))
         at = np.arange(len(g), dtype=U)
-        low = (U(1) << max(bits, U(20))) - U(1)
-        n = self.window - self.phrase + 1
-        return words, h, (sliding_min((g & ~low) | at, n) & low).astype(np.int64)
+        return words, (sliding_min((g >> U(32) << U(32)) | at, self.window - self.phrase + 1) & U(0xFFFFFFFF)).astype(np.int64)
 
-    def hashes(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return self.first.windows(h, self.window), self.second.windows(mix(h ^ U(0xA5A5A5A5A5A5A5A5)), self.window)
+
+def lined(words: list[bytes]) -> tuple[bytes, np.ndarray]:
+    """The words with one blank before, between and after them, and the places of the blanks."""
+    line = b" " + b" ".join(words) + b" "
+    return line, np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+
+
+def window_hashes(line: bytes, blanks: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    """128 bits (n x 2) of the words of the window at each of these positions of lined() words."""
+    low, high = (blanks[at] + 1).tolist(), blanks[at + window].tolist()
+    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(line[a:b]) for a, b in zip(low, high)]), U).reshape(-1, 2)
 
 
 def phrases(docs: DataFrame, window: int, phrase: int) -> DataFrame:
@@ -63,21 +72,25 @@ def phrases(docs: DataFrame, window: int, phrase: int) -> DataFrame:
         for b in batches:
             keys, out = [], []
             for k, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                words, _, least = reader.read(t.as_py())
+                words, least = reader.read(t.as_py())
                 if k is not None and len(least):
                     at = least[np.r_[True, least[1:] != least[:-1]]].tolist()
                     out += [b" ".join(words[p : p + phrase]) for p in at]
                     keys += [k] * len(at)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.binary()).cast(pa.string())], ["doc_id", "phrase"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, phrase string")
+    return docs.select("doc_id", "text").mapInArrow(lambda b: freed(run(b)), "doc_id long, phrase string")
 
 
 def confirmed(docs: DataFrame, shards: int, window: int, phrase: int) -> DataFrame:
-    """(shard, phrase): each phrase of two documents or more, for every shard that has it."""
-    seen = phrases(docs, window, phrase).withColumn("shard", shard_of(shards))
-    held = seen.groupBy("phrase").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.collect_set("shard").alias("shards"))
-    return held.filter("first < last").select(F.explode("shards").alias("shard"), "phrase")
+    """(shard, phrase): each phrase of two documents or more, for every shard that has it.
+
+    Rows are folded to one a phrase and shard before the rows of a phrase, which shards bound, meet.
+    """
+    seen = phrases(docs, window, phrase).groupBy("phrase", shard_of(shards).alias("shard")).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    of = W.partitionBy("phrase")
+    both = seen.withColumn("least", F.min("first").over(of)).withColumn("most", F.max("last").over(of))
+    return both.filter("least < most").select("shard", "phrase")
 
 
 def input_bytes(rows: DataFrame) -> int:
@@ -100,14 +113,10 @@ def automaton(found: list[str]) -> ahocorasick.Automaton:
     return a
 
 
-def located(words: list[bytes], found: ahocorasick.Automaton) -> np.ndarray:
-    """The word positions at which the automaton's phrases start."""
-    line = b" " + b" ".join(words) + b" "
+def located(line: bytes, blanks: np.ndarray, found: ahocorasick.Automaton) -> np.ndarray:
+    """The word positions at which the automaton's phrases start in lined() words."""
     starts = [end - n + 1 for end, n in found.iter(line.decode("latin-1"))]
-    if not starts:
-        return np.zeros(0, np.int64)
-    blanks = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
-    return np.searchsorted(blanks, starts)
+    return np.searchsorted(blanks, starts) if starts else np.zeros(0, np.int64)
 
 
 def windows(docs: DataFrame, found: DataFrame, shards: int, window: int, phrase: int) -> DataFrame:
@@ -121,16 +130,17 @@ def windows(docs: DataFrame, found: DataFrame, shards: int, window: int, phrase:
         if right.num_rows and left.num_rows:
             reader, spot = Reader(window, phrase), automaton(right.column("phrase").to_pylist())
             for k, t in zip(left.column("doc_id").to_pylist(), left.column("text"), strict=True):
-                words, h, least = reader.read(t.as_py())
+                words, least = reader.read(t.as_py())
                 if k is None or not len(least):
                     continue
+                line, blanks = lined(words)
                 there = np.zeros(len(words), bool)
-                there[located(words, spot)] = True
+                there[located(line, blanks, spot)] = True
                 pos = np.flatnonzero(there[least])
                 if len(pos):
-                    a, b = reader.hashes(h)
-                    out[0].append(a[pos].view(np.int64))
-                    out[1].append(((b[pos] >> U(32) << U(32)) | pos.astype(U)).view(np.int64))
+                    h = window_hashes(line, blanks, pos, window)
+                    out[0].append(h[:, 0].view(np.int64))
+                    out[1].append(((h[:, 1] >> U(32) << U(32)) | pos.astype(U)).view(np.int64))
                     out[2].append(np.full(len(pos), k, np.int64))
         cols = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
         return pa.Table.from_arrays([pa.array(c) for c in cols], ["h", "x", "doc_id"])
@@ -184,7 +194,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, types)], names)
 
     both = rows.join(gone, F.col("doc_id") == F.col("gone_id"), "left").select("doc_id", "text", "starts")
-    return both.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text)
+    return both.mapInArrow(lambda b: freed(run(b)), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text)
 
 
 def op4_repeated_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
