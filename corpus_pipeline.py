@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; whoever runs them writes that as Parquet and reads it
 back as the next one's docs. All but the last return the columns of documents.
+
+Nulls and odd rows, in every stage: a null text is empty, and an empty one is scored, packed and kept like any text (as
+a copy of other empty ones); a null id is an id of its own, texts that share an id are judged apart, and rows that
+repeat an id and a text are one document; an empty table stays empty, and packs to no sequence.
 """
 
 from __future__ import annotations

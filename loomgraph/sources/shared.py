@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,14 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where that is unset, as in tests."""
+    """spark.checkpoint.dir; a temporary folder in local mode alone, where that is unset, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="loomgraph-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/loomgraph-{spark.sparkContext.applicationId}"
 
 
+def release(spark: SparkSession) -> None:
+    """Remove every table that stored() wrote in this application; call it once its results are written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet and read back; a lost executor costs nothing that went before."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
