@@ -194,10 +194,10 @@ def e_projection(spark, d):
 
 
 def f_extracted(spark, d):
-    """Each computation of the log's shapes with the shapes that have it."""
+    """The measures and derived dimensions of the log's shapes, with how many have them."""
     s = seen(spark, d)
-    c = LN.computed(B.representatives(s["texts"]), "query", CATALOG)
-    return c.groupBy("kind", "expression").agg(F.count_distinct("shape_id").alias("shapes"), F.max(F.array_join("filters", " AND ")).alias("filters"), F.max(F.array_join("grain", ",")).alias("grain"))
+    c = LN.computed(B.representatives(s["texts"]), "query", CATALOG).filter("kind <> 'population'")
+    return c.groupBy("kind", "expression", F.array_join("grain", ",").alias("grain")).agg(F.count_distinct("shape_id").alias("shapes"))
 
 
 def a_groups(spark, d):
@@ -326,4 +326,8 @@ SELECT key, true AS identity, services > 0 AS production, services, people, 1 AS
 n AS (SELECT DISTINCT id FROM {OF_VARIABLE} v(id, col) UNION SELECT t || '.' || c FROM {CATALOG_ROWS} c(t, c) WHERE t || '.' || c NOT IN (SELECT col FROM {OF_VARIABLE} v(id, col))),
 k AS (SELECT a, b, (coread + flows)::DOUBLE AS w FROM e WHERE a IN (SELECT id FROM n) AND b IN (SELECT id FROM n))
 SELECT a, b, w FROM k UNION ALL SELECT id, NULL, NULL FROM n WHERE id NOT IN (SELECT a FROM k) AND id NOT IN (SELECT b FROM k)""",
+    "f_extracted": f"SELECT * FROM {rows(('measure', 'SUM(orders.o_totalprice)', 'orders.o_orderpriority', 1), ('measure', 'SUM(orders.o_totalprice)', 'orders.o_custkey', 1))} f(kind, expression, grain, shapes)",
+    "d_naming": f"""WITH {RUN},
+v AS (SELECT n::VARCHAR AS v FROM (SELECT k % 100 AS n, count(*) FILTER (NOT error) AS o FROM log WHERE k % 8 = 2 AND query IS NOT NULL GROUP BY 1) WHERE o > 0 ORDER BY o DESC, n::VARCHAR LIMIT 2)
+SELECT '{V_CUST}' AS id, '{KEYS[1]}, {KEYS[0]}' AS joins, NULL AS "values" UNION ALL SELECT '{V_NATION}', '{KEYS[2]}', (SELECT string_agg(v, ', ') FROM v)""",
 }
