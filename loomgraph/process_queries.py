@@ -30,7 +30,7 @@ def n_centroids(spark, d):
 
 
 def n_neighbours(spark, d):
-    return G.near_links(table(spark, d, "embeddings"), 4, 0.2, kind="label").withColumn("w", F.round("w", 5))
+    return G.near_links(table(spark, d, "embeddings"), 4, 0.2, kind="label").withColumn("w", F.round("w", 8))
 
 
 def n_small_kinds(spark, d):
@@ -128,7 +128,7 @@ WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE)
 s AS (SELECT x.vec_id AS q, y.vec_id AS n, round(list_dot_product(x.e, y.e) / sqrt(list_dot_product(x.e, x.e)) / sqrt(list_dot_product(y.e, y.e)), 6) AS score FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id),
 k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, n) AS r FROM s),
 w AS (SELECT least(q, n) AS a, greatest(q, n) AS b, max(greatest((score - 0.2) / 0.8, 1e-6)) AS w FROM k WHERE r <= 4 AND score > 0.2 GROUP BY 1, 2)
-SELECT a, b, round(w, 5) AS w FROM w UNION ALL SELECT vec_id, NULL, NULL FROM v WHERE vec_id NOT IN (SELECT a FROM w) AND vec_id NOT IN (SELECT b FROM w)""",
+SELECT a, b, round(w, 8) AS w FROM w UNION ALL SELECT vec_id, NULL, NULL FROM v WHERE vec_id NOT IN (SELECT a FROM w) AND vec_id NOT IN (SELECT b FROM w)""",
     "n_small_kinds": """
 WITH e AS (SELECT vec_id, CASE WHEN vec_id % 50 = 0 THEN 'rare' || (vec_id % 4) ELSE label::VARCHAR END AS g, embedding FROM embeddings),
 m AS (SELECT g, i, avg(x::DOUBLE) AS x FROM (SELECT g, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM e) GROUP BY 1, 2),

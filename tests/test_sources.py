@@ -38,9 +38,9 @@ def test_statements_are_checked_before_they_run(spark):
     assert not C.run(spark, "SELECT id FROM hundred", 10**9, 100)[1]
     with pytest.raises(ValueError, match="scans"):
         C.run(spark, "SELECT id FROM hundred", 1, 7)
-    names = Names({}, [(r"^LR_[0-9A-Z]{4}_", "LR_{id}_")], set(), "p")
-    said = "SELECT a -- LR_ABCD_x\nFROM `p.s.LR_ABCD_x` t JOIN s.other o ON t.k = o.k"
-    assert C.physical_sql(said, {"p.s.LR_{id}_x": "p.s.LR_WXYZ_x"}, names) == said.replace("`p.s.LR_ABCD_x`", "`p.s.LR_WXYZ_x`")
+    names = Names({}, [(r"^GX_[0-9A-Z]{4}_", "GX_{id}_")], set(), "p")
+    said = "SELECT a -- GX_ABCD_x\nFROM `p.s.GX_ABCD_x` t JOIN s.other o ON t.k = o.k"
+    assert C.physical_sql(said, {"p.s.GX_{id}_x": "p.s.GX_WXYZ_x"}, names) == said.replace("`p.s.GX_ABCD_x`", "`p.s.GX_WXYZ_x`")
     made = spark.createDataFrame([("t", "b", "2024-01-01"), ("t", "a", "2024-02-01"), ("u", "c", None)], "table string, name string, created string")
     assert dict(map(tuple, C.newest(made).collect())) == {"t": "a", "u": "c"}
 
