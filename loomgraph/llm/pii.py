@@ -11,6 +11,7 @@ Only counts of patterns reach the driver: at most 3**LABELERS votes times the ki
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,25 +49,66 @@ LABELERS = ["format", "gazetteer", "context_for", "context_against", "glued"]
 REACH = 48
 
 
-def spans(text: Column, kind: str, pattern: str) -> Column:
-    """The leftmost non-overlapping matches of pattern: structs (start, end, kind, value, before); code points.
+#: Elements of an array that are folded at once; arrays of a million elements fold in a second.
+BLOCK = 64
 
-    split() and regexp_extract_all() see the same matches; the lengths of gaps and matches, summed in order, place them.
+
+def bound(x: Column, body: Callable[[Column], Column]) -> Column:
+    """body(x), where x is worked out once, however often the body or a function inside it names it."""
+    return F.transform(F.array(x), body)[0]
+
+
+def before_each(values: Column, zero: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """For each of an array of ints the fold of those before it; op is associative, zero its neutral element.
+
+    Blocks of BLOCK values are folded first, then these, then each block from its own start, so an array that grows
+    by an element at a time stays short.
     """
-    values, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    none = F.array().cast("array<struct<start:int,end:int,kind:int,value:string,before:string>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
-    def step(a: Column, x: Column) -> Column:
-        s = a["at"] + F.length(x["g"])
-        e = s + F.length(x["v"])
-        one = F.struct(s.alias("start"), e.alias("end"), F.lit(KINDS.index(kind)).alias("kind"), x["v"].alias("value"), F.right(x["g"], F.lit(REACH)).alias("before"))
-        return F.struct(e.alias("at"), F.concat(a["out"], F.array(one)).alias("out"))
+    def run(array: Column, start: Column) -> Column:
+        first = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(array, first, lambda a, v: F.struct(op(a["at"], v).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+
+    def cut(v: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), ((F.size(v) - 1) / BLOCK).cast("int")), lambda k: F.slice(v, k * BLOCK + 1, F.lit(BLOCK)))
+
+    def folded(blocks: Column) -> Column:
+        return F.flatten(F.zip_with(blocks, run(F.transform(blocks, lambda b: F.aggregate(b, zero, op)), zero), run))
+
+    return bound(values, lambda v: F.when(F.size(v) > 0, bound(cut(v), folded)).otherwise(F.array().cast("array<int>")))
 
-    pairs = F.zip_with(values, F.slice(gaps, F.lit(1), F.size(values)), lambda v, g: F.struct(v.alias("v"), g.alias("g")))
+
+def matches(text: Column, kind: str, pattern: str) -> Column:
+    """The leftmost non-overlapping matches of pattern: structs (g, v), the text between the last match and this, and this."""
+    values, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)  # they see the same matches
+    pairs = F.zip_with(values, F.slice(gaps, F.lit(1), F.size(values)), lambda v, g: F.struct(g.alias("g"), v.alias("v")))
     hint = HINT.get(kind, "")
     some = F.contains(text, F.lit(hint)) if hint else F.lit(True)
-    return F.when(some & text.rlike(pattern), F.aggregate(pairs, start, step, lambda a: a["out"])).otherwise(none)
+    return F.when(some & text.rlike(pattern), pairs).otherwise(F.array().cast("array<struct<g:string,v:string>>"))
+
+
+def spans(found: Column, kind: str) -> Column:
+    """matches() as structs (start, end, kind, value, before), in code points; summed lengths place them."""
+    ends = before_each(F.transform(found, lambda x: F.length(x["g"]) + F.length(x["v"])), F.lit(0), lambda a, b: a + b)
+
+    def placed(x: Column, at: Column) -> Column:
+        start = at + F.length(x["g"])
+        return F.struct(start.alias("start"), (start + F.length(x["v"])).alias("end"), F.lit(KINDS.index(kind)).alias("kind"), x["v"].alias("value"), F.right(x["g"], F.lit(REACH)).alias("before"))
+
+    none = F.array().cast("array<struct<start:int,end:int,kind:int,value:string,before:string>>")
+    return F.when(F.size(found) == 0, none).otherwise(F.zip_with(found, ends, placed))
+
+
+def apart(added: Column, base: Column) -> Column:
+    """The spans of `added`, in order, that overlap none of `base`: in one list by start, none before reaches in, none after starts inside."""
+    far = 2**31 - 1
+    mark = lambda of: lambda s: F.struct(s["start"].alias("start"), F.lit(of).alias("added"), s["end"].alias("end"), s.alias("s"))
+    every = F.array_sort(F.concat(F.transform(base, mark(0)), F.transform(added, mark(1))))
+    reach = before_each(F.transform(every, lambda e: F.when(e["added"] == 0, e["end"]).otherwise(0)), F.lit(0), lambda a, b: F.greatest(a, b))
+    ahead = F.reverse(before_each(F.reverse(F.transform(every, lambda e: F.when(e["added"] == 0, e["start"]).otherwise(far))), F.lit(far), lambda a, b: F.least(a, b)))
+    seen = F.zip_with(F.zip_with(every, reach, lambda e, r: F.struct(e.alias("e"), r.alias("r"))), ahead, lambda x, n: F.struct(x["e"].alias("e"), ((x["e"]["added"] == 1) & (x["r"] <= x["e"]["start"]) & (n >= x["e"]["end"])).alias("free")))
+    free = F.transform(F.filter(seen, lambda x: x["free"]), lambda x: x["e"]["s"])
+    return F.when(F.size(added) == 0, added).when(F.size(base) == 0, F.array_sort(added)).otherwise(free)
 
 
 def luhn(digits: Column) -> Column:
@@ -119,15 +161,15 @@ def said(s: Column) -> Column:
 def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, base, added): the valid base spans, and candidates that overlap none of them, with votes and features."""
     body = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    kept = lambda kind: F.filter(spans(F.col("text"), kind, BASE[kind]), lambda s: valid(kind, s["value"]))
-    base = F.array_sort(F.concat(*map(kept, BASE)))
-    more = F.concat(*[spans(F.col("text"), k, r[0]) for k, r in ADDED.items()])
-    free = lambda s: ~F.exists("base", lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"]))
+    patterns = BASE | {k: r[0] for k, r in ADDED.items()}
+    found = body.select("doc_id", *[matches(F.col("text"), k, p).alias(f"in_{k}") for k, p in patterns.items()])
+    kept = lambda kind: F.filter(spans(F.col(f"in_{kind}"), kind), lambda s: valid(kind, s["value"]))
+    base, more = F.array_sort(F.concat(*map(kept, BASE))), F.concat(*[spans(F.col(f"in_{k}"), k) for k in ADDED])
     look = lambda s: F.struct(
         s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.array(*[v.cast("int") for v in votes(s)]).alias("votes"),
         F.least((s["end"] - s["start"]) / 8, F.lit(5)).cast("int").alias("size"),
     )
-    both = body.select("doc_id", "text", base.alias("base")).select("doc_id", "base", F.filter(more, free).alias("added"))
+    both = found.select("doc_id", base.alias("base"), more.alias("more")).select("doc_id", "base", apart(F.col("more"), F.col("base")).alias("added"))
     return both.select("doc_id", F.transform("base", look).alias("base"), F.array_sort(F.transform("added", look)).alias("added"))
 
 
