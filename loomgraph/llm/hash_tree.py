@@ -82,8 +82,8 @@ def place(rows: DataFrame, shards: int, key: str = "doc_id", text: str = "text",
 
     The key and the shard count decide the shard; a null key is a key like any other. Rows that repeat a key share
     its shard and have slots of their own. Size: UTF-8 bytes plus 1; a null text has none. Slots count the rows of a
-    shard from 0 without a gap: hash-dealt blocks of a shard are numbered apart and shifted by the rows of the blocks
-    before, so no task holds a whole shard. An empty table gives no rows; other columns play no part.
+    shard from 0 without a gap: blocks of a shard, dealt by hash of key and text, are numbered apart and shifted by the
+    rows of the blocks before, so no task holds a whole shard or all rows of a key. An empty table gives no rows; other columns play no part.
     """
     body = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
     n = rows.count()
@@ -94,7 +94,7 @@ def place(rows: DataFrame, shards: int, key: str = "doc_id", text: str = "text",
         F.crc32(body).alias("text_crc32"),
         descend(F.col(key), HashTree.of(shards, base)).cast("int").alias("shard"),
         descend(F.col(key), HashTree.of(shards + 1, base)).cast("int").alias("grown_shard"),
-    ).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+    ).withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(blocks)))
     sizes = placed.groupBy("shard", "block").agg(F.count("*").alias("rows"))
     shift = sizes.select("shard", "block", (F.sum("rows").over(W.partitionBy("shard").orderBy("block")) - F.col("rows")).alias("shift"))
     numbered = placed.withColumn("at", F.row_number().over(W.partitionBy("shard", "block").orderBy("doc_id", "text_crc32")))
@@ -104,7 +104,13 @@ def place(rows: DataFrame, shards: int, key: str = "doc_id", text: str = "text",
 
 
 def write_shards(rows: DataFrame, path: str, shards: int, key: str = "doc_id", base: int = BASE) -> None:
-    """Write rows, with all their columns, into one folder a shard."""
+    """Write rows, with all their columns, into one folder a shard.
+
+    A null key is a key like any other, rows that repeat go to one shard, an empty table writes no folder; a column of
+    rows named shard is refused.
+    """
+    if "shard" in rows.columns:
+        raise ValueError("rows have a column named shard already")
     rows.withColumn("shard", descend(F.col(key), HashTree.of(shards, base))).write.partitionBy("shard").parquet(path)
 
 
