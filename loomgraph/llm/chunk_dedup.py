@@ -81,7 +81,7 @@ def kept(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         rows = dedup(docs, key, text).filter("group_size > 1").groupBy("doc_id", F.unhex("text_sha256").alias("sha"))
         named = stored(rows.agg(F.min("kept").alias("kept"), F.count("*").alias("rows")).filter("not kept or rows > 1"), "named", keep=True)
     others, maybe = split_by(docs, [F.col(key)], named, ["doc_id"])
-    gone = named.filter("not kept").select(F.col("doc_id").alias("__gone"), F.col("sha").alias("__of")).hint("shuffle_hash")
+    gone = named.filter("not kept").select(F.col("doc_id").alias("__gone"), F.col("sha").alias("__of")).hint("merge")
     stay = maybe.withColumn("__sha", sha).join(gone, F.col(key).eqNullSafe(F.col("__gone")) & (F.col("__sha") == F.col("__of")), "left_anti")
     return others.unionByName(stay.dropDuplicates([key, "__sha"]).drop("__sha"))
 

@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from loomgraph.llm.common import scratch, split_by, stored, table, without
-from loomgraph.llm.hashing import Rolling, U, WordHashes, mix
+from loomgraph.llm.common import freed, scratch, split_by, stored, table, without
+from loomgraph.llm.hashing import Rolling, U, mix, word_hashes
 
 WORDS, SIMILAR = 5, 0.8
 #: 26 bands of 5: a pair of similarity 0.8 shares a band with probability 0.99997.
@@ -53,11 +53,11 @@ class Shingles:
     """Hashes of a text's runs of WORDS words, lower-cased; all of a shorter text is one shingle."""
 
     def __init__(self, words: int = WORDS):
-        self.words, self.known, self.roll = words, WordHashes(), Rolling(0x9E3779B97F4A7C15)
+        self.words, self.roll = words, Rolling(0x9E3779B97F4A7C15)
 
     def of(self, text: str | None) -> tuple[list[str], np.ndarray]:
         w = (text or "").lower().split()
-        return w, self.roll.windows(self.known.of(w), min(self.words, len(w))) if w else np.zeros(0, U)
+        return w, self.roll.windows(word_hashes(" ".join(w).encode()), min(self.words, len(w))) if w else np.zeros(0, U)
 
 
 def throw(element: np.ndarray, weight: np.ndarray, doc: np.ndarray, n: int, k: int = COORDINATES) -> np.ndarray:
@@ -132,7 +132,7 @@ def signed(docs: DataFrame, words: int = WORDS, weights: str = "set") -> DataFra
                 cols = [b.column(0), pa.array(copies, pa.binary()), pa.array(sig, pa.binary()), pa.array(size, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "copy", "sig", "size", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, copy binary, sig binary, size int, bands array<long>")
+    return docs.mapInArrow(lambda b: freed(run(b)), "doc_id long, copy binary, sig binary, size int, bands array<long>")
 
 
 def least_agreement(similar: float, k: int = COORDINATES) -> int:
@@ -154,7 +154,7 @@ def likely(pairs: DataFrame, reps: DataFrame, similar: float) -> DataFrame:
             p, q = (np.frombuffer(b"".join(x.column(c).to_pylist()), np.uint8).reshape(x.num_rows, -1) for c in (2, 3))
             yield x.select([0, 1]).filter(pa.array((p == q).sum(axis=1) >= least, pa.bool_()))
 
-    side = lambda key, sig, size: reps.select(F.col("node").alias(key), F.col("sig").alias(sig), F.col("size").alias(size)).hint("shuffle_hash")
+    side = lambda key, sig, size: reps.select(F.col("node").alias(key), F.col("sig").alias(sig), F.col("size").alias(size)).hint("merge")
     both = pairs.join(side("a", "p", "m"), "a").join(side("b", "q", "n"), "b").filter(sizes_fit(F.col("m"), F.col("n"), similar))
     return both.select("a", "b", "p", "q").mapInArrow(run, "a long, b long")
 
@@ -183,7 +183,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, similar: float) ->
 
     _, left = split_by(docs.select(F.col("doc_id").alias("a"), F.col("text").alias("s")), [F.col("a")], pairs.select("a").distinct(), ["a"])
     _, right = split_by(docs.select(F.col("doc_id").alias("b"), F.col("text").alias("t")), [F.col("b")], pairs.select("b").distinct(), ["b"])
-    return pairs.hint("shuffle_hash").join(left, "a").hint("shuffle_hash").join(right, "b").select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
+    return pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").select("a", "b", "s", "t").mapInArrow(lambda b: freed(run(b)), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -299,7 +299,7 @@ def block_links(members: DataFrame, texts: DataFrame, words: int, similar: float
             yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in (0, 1)], ["a", "b"])
 
     _, held = split_by(texts.select(F.col("doc_id").alias("n"), "text"), [F.col("n")], members.select("node").distinct(), ["node"])
-    whole = members.join(held.dropDuplicates(["n"]).hint("shuffle_hash"), F.col("node") == F.col("n"))
+    whole = members.join(held.dropDuplicates(["n"]).hint("merge"), F.col("node") == F.col("n"))
     return dealt_out(whole).select(*MEMBER_COLUMNS, "text").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -337,7 +337,7 @@ def settled(labels: DataFrame, buckets: DataFrame, reps: DataFrame, texts: DataF
         dealt = members.select(*at, "node", mine.alias("me"), F.explode(groups).alias("other"))
         dealt = dealt.select(*at, F.least("me", "other").alias("i"), F.greatest("me", "other").alias("j"), F.col("me").alias("salt"), "node")
         dealt = dealt.filter(F.pmod(F.xxhash64(*at, "i", "j"), F.lit(passes)) == p).join(labels, "node")
-        dealt = dealt.join(reps.select("node", "size", "sig").hint("shuffle_hash"), "node")
+        dealt = dealt.join(reps.select("node", "size", "sig").hint("merge"), "node")
         dealt = dealt.withColumn("alone", F.col("i") == F.col("j")).withColumn("salt", F.col("salt") == F.col("i")).withColumns({c: F.to_json(c) for c in "ij"})
         likely_ones = stored(block_members(dealt, similar), "members")
         turns = -(-likely_ones.count() // most)

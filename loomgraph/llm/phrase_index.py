@@ -72,7 +72,7 @@ def postings(docs: DataFrame, terms: DataFrame | None = None, key: str = "doc_id
     if terms is not None and terms.count() <= block:
         seen = seen.join(F.broadcast(terms), "term", "left_semi")
     elif terms is not None:
-        seen = split_by(seen, [F.col("term")], terms, ["term"])[1].join(terms.hint("shuffle_hash"), "term", "left_semi")
+        seen = split_by(seen, [F.col("term")], terms, ["term"])[1].join(terms.hint("merge"), "term", "left_semi")
     return seen.select("term", "doc_id", "h", "pos").distinct()
 
 
@@ -95,7 +95,7 @@ def around(docs: DataFrame, hits: DataFrame, reach: int, key: str, text: str) ->
     named = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
     _, held = split_by(named, [F.col("doc_id"), F.col("h")], hits.select("doc_id", "h").distinct(), ["doc_id", "h"])
     held = held.dropDuplicates(["doc_id", "h"]).select(F.col("doc_id").alias("d"), F.col("h").alias("g"), words(F.col("text")).alias("w"))
-    both = at.join(held.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")))
+    both = at.join(held.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")))
     low = lambda x: F.greatest(F.lit(0), x["pos"] - reach)
     seen = lambda x: F.struct(x.alias("x"), (x["pos"] - low(x)).alias("before"), F.slice("w", low(x) + 1, x["pos"] + reach + 1 - low(x)).alias("around"))
     return both.select("doc_id", "h", F.explode(F.transform("hits", seen)).alias("s")).select("s.x.*", "doc_id", "h", "s.before", "s.around")

@@ -23,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import table
+from loomgraph.llm.common import freed, table
 
 #: Bounds of the training sample: confirmed toxic and unlabelled documents.
 POSITIVES, UNLABELLED = 2000, 6000
 #: Hashed features, and the score from which a text counts as toxic.
 SLOTS, THRESHOLD = 1 << 20, 0.3
 #: Words whose weights a worker remembers, if they are no longer than LONG; past it, each STEP characters count as a word.
-REMEMBERED, LONG, STEP = 1_000_000, 64, 8
+REMEMBERED, LONG, STEP = 200_000, 64, 8
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = re.compile(BETWEEN.replace("[", "[^"))
 
@@ -178,11 +178,14 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
     rows = docs.select(F.col(key).alias("doc_id"), held_out(F.col(key)).alias("held_out"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return rows.mapInArrow(lambda b: freed(run(b)), f"doc_id {kind}, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def not_toxic(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that score below the threshold, with all their columns."""
+    """The rows of docs that score below the threshold, with all their columns.
+
+    Null and empty texts score the bias; rows that repeat are judged each alike; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
     at = docs.columns.index(text)
 
@@ -191,7 +194,7 @@ def not_toxic(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "t
         for b in batches:
             yield b.filter(pa.array([of(t.as_py()) < threshold for t in b.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lambda b: freed(run(b)), docs.schema)
 
 
 def op5_nn_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import shared_dir, split_by, stored, table
+from loomgraph.llm.common import scratch, shared_dir, split_by, stored, table
 
 #: Every record has the date of the crawl; a parameter, since pages have none.
 DATE = "2024-01-01T00:00:00Z"
@@ -31,12 +31,30 @@ def record_uri(key: Column) -> Column:
     return F.concat(F.lit("<urn:x-page:"), F.coalesce(key.cast("string"), F.lit("")), F.lit(">"))
 
 
+UNSAFE = {"%": "%25", "\r": "%0D", "\n": "%0A", "\t": "%09", " ": "%20"}
+#: The line that says that a target had characters which end a line or a value, and stands in percent codes.
+ESCAPED = "X-Target-URI-Escaped"
+
+
+def unsafe(url: Column) -> Column:
+    return F.coalesce(url.rlike(r"[\r\n\t ]"), F.lit(False))
+
+
 def clean_uri(url: Column) -> Column:
-    """Control characters and spaces, which would end a header line, as percent codes; null is empty."""
+    """The target as a header holds it: as it is, or in percent codes if it is unsafe(); null is empty."""
     out = F.coalesce(url, F.lit(""))
-    for c in ("\r", "\n", "\t", " "):
-        out = F.replace(out, F.lit(c), F.lit(f"%{ord(c):02X}"))
-    return out
+    for c, code in UNSAFE.items():
+        out = F.replace(out, F.lit(c), F.lit(code))
+    return F.when(unsafe(url), out).otherwise(F.coalesce(url, F.lit("")))
+
+
+def target(head: str = "header") -> Column:
+    """The target that a header was written for, exactly."""
+    said = F.regexp_extract(F.col(head), r"\r\nWARC-Target-URI: ([^\r\n]*)\r\n", 1)
+    out = said
+    for c, code in reversed(UNSAFE.items()):
+        out = F.replace(out, F.lit(code), F.lit(c))
+    return F.when(F.contains(F.col(head), F.lit(f"\r\n{ESCAPED}: true\r\n")), out).otherwise(said)
 
 
 def header(key: Column, url: Column, kind: Column, first: Column, sha1: Column, length: Column, date: str) -> Column:
@@ -49,6 +67,7 @@ def header(key: Column, url: Column, kind: Column, first: Column, sha1: Column,
         line("WARC-Record-ID", record_uri(key)),
         line("WARC-Date", F.lit(date)),
         line("WARC-Target-URI", clean_uri(url)),
+        F.when(unsafe(url), line(ESCAPED, F.lit("true"))).otherwise(F.lit("")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), sha1)),
         F.when(revisit, F.concat(line("WARC-Refers-To", record_uri(first)), line("WARC-Profile", F.lit(PROFILE)))).otherwise(F.lit("")),
         line("Content-Type", F.lit("text/html; charset=utf-8")),
@@ -66,23 +85,24 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", h
     play no part. Only digests are grouped; payloads go from the scan to the archive, but for the few rows that may
     not be the one that stores theirs. Payloads of one SHA-256 must agree in SHA-1 and length, or the write fails.
     """
-    body = F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")
-    named = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.sha2(body, 256).alias("digest"), base32_sha1(body).alias("sha1"), F.octet_length(body).alias("length"))
-    both = F.struct("sha1", "length")
-    firsts = named.groupBy("digest").agg(F.min("key").alias("first"), F.min(both).alias("least"), F.max(both).alias("most"), F.count("*").alias("rows"))
-    wrong = F.raise_error(F.concat(F.lit("two payloads have the digest "), F.col("digest")))
-    firsts = firsts.withColumn("first", F.when(F.col("least") == F.col("most"), F.col("first")).otherwise(wrong.cast(pages.schema[key].dataType)))
-    firsts = stored(firsts.select(F.col("digest").alias("of"), "first", "rows"), "digests")
-    revisit = (F.col("length") >= least) & F.col("first").isNotNull() & ~F.col("key").eqNullSafe(F.col("first"))
-    records = named.join(firsts, F.col("digest") == F.col("of")).withColumn("kind", F.when(revisit, "revisit").otherwise("response"))
-    parts = [F.col(c) for c in ("key", "url", "kind", "first", "sha1", "length")]
-    records.select("key", "digest", header(*parts, date).alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
-    bodies = pages.select(F.col(key).alias("key"), F.sha2(body, 256).alias("digest"), body.alias("payload"))
-    more = firsts.filter("rows > 1")
-    alone, shared = split_by(bodies, [F.col("digest")], more, ["of"])
-    first = shared.join(more.hint("shuffle_hash"), F.col("digest") == F.col("of"), "left").filter("rows is null or key <=> first")
-    once = first.select("digest", "payload").dropDuplicates(["digest"])
-    alone.select("digest", "payload").unionByName(once).write.option("compression", "zstd").parquet(f"{path}/payloads")
+    with scratch(pages.sparkSession):
+        body = F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")
+        named = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.sha2(body, 256).alias("digest"), base32_sha1(body).alias("sha1"), F.octet_length(body).alias("length"))
+        both = F.struct("sha1", "length")
+        firsts = named.groupBy("digest").agg(F.min("key").alias("first"), F.min(both).alias("least"), F.max(both).alias("most"), F.count("*").alias("rows"))
+        wrong = F.raise_error(F.concat(F.lit("two payloads have the digest "), F.col("digest")))
+        firsts = firsts.withColumn("first", F.when(F.col("least") == F.col("most"), F.col("first")).otherwise(wrong.cast(pages.schema[key].dataType)))
+        firsts = stored(firsts.select(F.col("digest").alias("of"), "first", "rows"), "digests")
+        revisit = (F.col("length") >= least) & F.col("first").isNotNull() & ~F.col("key").eqNullSafe(F.col("first"))
+        records = named.join(firsts, F.col("digest") == F.col("of")).withColumn("kind", F.when(revisit, "revisit").otherwise("response"))
+        parts = [F.col(c) for c in ("key", "url", "kind", "first", "sha1", "length")]
+        records.select("key", "digest", header(*parts, date).alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
+        bodies = pages.select(F.col(key).alias("key"), F.sha2(body, 256).alias("digest"), body.alias("payload"))
+        more = firsts.filter("rows > 1")
+        alone, shared = split_by(bodies, [F.col("digest")], more, ["of"])
+        first = shared.join(more.hint("merge"), F.col("digest") == F.col("of"), "left").filter("rows is null or key <=> first")
+        once = first.select("digest", "payload").dropDuplicates(["digest"])
+        alone.select("digest", "payload").unionByName(once).write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
