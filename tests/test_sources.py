@@ -144,3 +144,19 @@ def test_climb_stops_where_nothing_shrinks(spark):
     levels = L.climb(df, "kind", "id", "v", "w", 3, 0.5, 5, 2, 0.9)
     assert levels and levels[0].groupBy("parent").count().count() == 4
     assert L.climb(df.limit(2), "kind", "id", "v", "w", 3, 0.5, 5, 2, 0.9) == []
+
+
+def test_a_log_gives_all_evidence(spark, tmp_path, capsys):
+    from loomgraph import build, log_queries
+
+    data = "/root/testdata/sf0.001"
+    views = spark.createDataFrame([(log_queries.VIEW,)], "query string")
+    found = build.evidence(log_queries.log(spark, data), log_queries.CATALOG, log_queries.service(), views)
+    names = build.write({k: found[k] for k in ("refs", "joinkeys", "unit_edges", "health", "groups_of_units")}, str(tmp_path))
+    assert names == ["groups_of_units", "health", "joinkeys", "refs", "unit_edges"]
+    again = spark.read.parquet(f"{tmp_path}/joinkeys")
+    assert sorted(r["key"] for r in again.collect()) == sorted(log_queries.KEYS)
+    assert {"w.sales.customer", "w.sales.orders"} <= {r["table"] for r in spark.read.parquet(f"{tmp_path}/refs").collect()}
+    build.main([])
+    build.main(["h_is_unique", data, "--rows", "2"])
+    assert "i_totals" in capsys.readouterr().out
