@@ -384,7 +384,7 @@ def labelled(rows: DataFrame, words: int, similar: float, weights: str) -> DataF
         pairs = stored(likely(cross_pairs(buckets, labels, turn, similar), reps, similar), "pairs")
     labels = settled(labels, buckets, reps, texts, words, similar)
     of = reps.select("copy", "node").join(labels, "node", "left").select("copy", F.coalesce("label", "node").alias("class_id"))
-    return sig.select("doc_id", "copy").join(of, "copy", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    return sig.select("doc_id", "copy").join(of, "copy", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
