@@ -8,13 +8,16 @@ import json
 import math
 import re
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loomgraph.operators.graph import components, nearest
+from loomgraph.sources.shared import stored
 
 # ---------------------------------------------------------------- which tables
 
@@ -157,26 +160,80 @@ def area_votes(reads: DataFrame, member_of: DataFrame, hops: int) -> DataFrame:
     return n.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("m"), "node")).alias("t")).select("id", F.col("t.node").alias("area"), (-F.col("t.m")).alias("n"))
 
 
-def prefixes(sets: DataFrame, key: str, item: str, keep: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
+def prefixes(sets: DataFrame, key: str, item: str, keep: Callable[[Column], Column], kept: bool = False) -> tuple[DataFrame, DataFrame]:
     """(items (key, items, n), first (key, item)): each key's items, the rarest of all first, and the first keep(n) of them.
 
-    Two keys that share enough meet in what is rare, so common items need not be joined.
+    Two keys that share enough meet in what is rare, so common items need not be joined. The items are stored if `kept`.
     """
     one = sets.select(F.col(key).alias("key"), F.col(item).alias("item")).dropna().distinct()
     freq = one.groupBy("item").agg(F.count("*").alias("f"))
     held = one.join(freq, "item").groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "item"))), lambda s: s["item"]).alias("items"))
     held = held.withColumn("n", F.size("items"))
+    held = stored(held, "sets") if kept else held
     return held, held.select("key", "n", F.explode(F.slice("items", F.lit(1), F.greatest(F.lit(0), keep(F.col("n"))).cast("int"))).alias("item"))
 
 
+#: Sets of one block, and items of all of them; a task compares two blocks.
+SETS, ITEMS = 4_096, 1_000_000
+
+
+def met_in_blocks(held: DataFrame, least: float, blocks: int) -> DataFrame:
+    """(a, b, jaccard) of sets held (key, items) as jaccard_pairs(); every two blocks of them meet in one task, and only what is alike leaves it."""
+    codes = stored(held.select(F.explode("items").alias("item")).distinct().withColumn("code", F.monotonically_increasing_id()), "codes")
+    coded = held.select("key", F.explode("items").alias("item")).join(codes, "item").groupBy("key").agg(F.collect_list("code").alias("codes"))
+    coded = coded.select(F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("block"), "key", "codes")
+    cell = coded.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    cell = cell.select(F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "key", "codes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches)).combine_chunks()
+        keys, lists = (t.column(c).combine_chunks() for c in ("key", "codes"))
+        low, high, block = (t.column(c).to_numpy() for c in ("low", "high", "block"))
+        n = np.asarray(lists.value_lengths()).astype(np.int64)
+        start = np.cumsum(n) - n
+        names, flat = np.unique(np.asarray(lists.flatten()), return_inverse=True)
+        mine, others = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        place = np.full(len(n), -1)
+        place[others] = np.arange(len(others))
+        owner = np.repeat(place, n)
+        there, order = flat[owner >= 0], np.argsort(flat[owner >= 0], kind="stable")
+        post = owner[owner >= 0][order]
+        end = np.cumsum(np.bincount(there, minlength=len(names)))
+        begin = np.r_[0, end[:-1]]
+        m, same = n[others], low[0] == high[0]
+        found, rows = [], 0
+        for at, i in enumerate(mine):
+            its = flat[start[i] : start[i] + n[i]]
+            c = np.bincount(np.concatenate([post[begin[v] : end[v]] for v in its]), minlength=len(others))
+            score = c / (n[i] + m - c)
+            hit = np.flatnonzero(score >= least)
+            hit = hit[hit > at] if same else hit
+            found.append((np.full(len(hit), i), others[hit], score[hit]))
+            rows += len(hit)
+            if rows >= 200_000 or at == len(mine) - 1:
+                x, y, z = (np.concatenate(v) for v in zip(*found, strict=True))
+                found, rows = [], 0
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(x)), keys.take(pa.array(y)), pa.array(z)], names=["x", "y", "jaccard"])
+
+    kind = held.schema["key"].dataType.simpleString()
+    met = cell.groupBy("low", "high").applyInArrow(run, f"x {kind}, y {kind}, jaccard double")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
+
+
 def jaccard_pairs(sets: DataFrame, key: str, item: str, least: float) -> DataFrame:
     """(a, b, jaccard), a < b: keys whose sets of items have that likeness or more; least above 0.
 
     Sets that share `least` of their union meet among the first n - ceil(least * n) + 1 items of each, rarest first, and
-    differ in size by that factor at most.
+    differ in size by that factor at most. Where a hundredth of all pairs or more would meet so, no item is rare, and
+    blocks of sets are compared instead, so that pairs that are not alike are never rows.
     """
-    held, first = prefixes(sets, key, item, lambda n: n - F.ceil(n * least - 1e-9) + 1)
+    held, first = prefixes(sets, key, item, lambda n: n - F.ceil(n * least - 1e-9) + 1, kept=True)
     right = first.select(F.col("key").alias("b"), F.col("n").alias("m"), "item")
+    f = F.col("f").cast("double")
+    joined = first.groupBy("item").agg(F.count("*").alias("f")).agg(F.sum(f * (f - 1) / 2)).first()[0]
+    n, items = held.agg(F.count("*"), F.sum("n")).first()
+    if joined and joined >= n * (n - 1) / 200:
+        return met_in_blocks(held, least, max(-(-n // SETS), -(-items // ITEMS), min(8, -(-n // 256))))
     met = first.withColumnRenamed("key", "a").join(right, "item").filter((F.col("a") < F.col("b")) & (F.col("n") >= least * F.col("m")) & (F.col("m") >= least * F.col("n"))).select("a", "b").distinct()
     side = lambda name, as_: held.select(F.col("key").alias(name), F.col("items").alias(as_))
     both = met.join(side("a", "x"), "a").join(side("b", "y"), "b")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
+from loomgraph.operators import answers as A
 from loomgraph.operators import graph as G
 from loomgraph.operators import process as P
 from loomgraph.operators import ranks as R
@@ -89,6 +90,22 @@ def test_nearest_in_blocks_is_nearest(spark, monkeypatch):
         assert [r[1] for r in sorted(whole, key=lambda r: r[3]) if r[0] == q] == np.argsort(-score)[:3].tolist()
 
 
+def test_sets_without_rare_items_meet_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    held = {f"k{i}": {f"i{v}" for v in rng.integers(0, 12, rng.integers(1, 9))} for i in range(70)}
+    rows = [(k, v) for k, s in held.items() for v in (*s, None)] + [(None, "i1"), ("k0", sorted(held["k0"])[0])]
+    wanted = {(a, b, len(held[a] & held[b]) / len(held[a] | held[b])) for a in held for b in held if a < b}
+    monkeypatch.setattr(A, "SETS", 20, raising=False)
+    for least in (0.25, 0.5, 1.0):
+        df = A.jaccard_pairs(spark.createDataFrame(rows, "k string, v string"), "k", "v", least)
+        got = [tuple(r) for r in df.collect()]
+        assert sorted(got) == sorted(w for w in wanted if w[2] >= least) and got
+        assert "array_intersect" not in df._jdf.queryExecution().toString()
+    rare = spark.createDataFrame([(i, v) for i in range(400) for v in (i // 2, -i - 1)], "k int, v int")
+    assert sorted(map(tuple, A.jaccard_pairs(rare, "k", "v", 0.3).collect())) == [(i, i + 1, 1 / 3) for i in range(0, 400, 2)]
+    assert A.jaccard_pairs(rare.limit(0), "k", "v", 0.3).collect() == []
+
+
 def test_fingerprints(spark):
     same = ["SELECT a, 1 FROM t -- x\nWHERE b = 'it''s';", "select a,2\nfrom T /* y */ where B='z'"]
     other = ["SELECT a, 1 FROM t WHERE c = 'z'", "SELECT a FROM t", None]
