@@ -9,6 +9,7 @@ import numpy as np
 
 from loomgraph.operators import communities as C
 from loomgraph.operators import evidence as E
+from loomgraph.operators import graph as G
 from loomgraph.streaming import usage as S
 
 
@@ -88,3 +89,28 @@ def test_communities_are_the_same_on_the_driver_and_in_joins(spark):
     df = spark.createDataFrame(edges, "a int, b int, n int")
     small, large = (sorted(map(tuple, C.communities(df, small=n).collect())) for n in (10**6, 0))
     assert small == large and 4 <= len({c for _, c in small}) <= 10
+
+
+def test_communities_of_shared_groups_are_those_of_their_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(f"g{g}", int(v)) for g in range(160) for v in rng.integers(0, 40, rng.integers(1, 5)) * 8 + g % 8]
+    rows += [("g1", None), (None, 3), rows[0], ("alone", 7777), *((f"g{g}", 8 * v + 500) for g in range(9) for v in range(5))]
+    df = spark.createDataFrame(rows, "g string, v int")
+    wanted = sorted(map(tuple, C.communities(G.coread(df, "g", "v")).collect()))
+    assert 2 < len({c for _, c in wanted}) < len(wanted) and 7777 not in dict(wanted)
+    for counts, at_once, listed in ((10**6, 10**6, 10**3), (10**6, 50, 0), (0, 50, 0), (0, 10**6, 9)):
+        for name, n in (("COUNTS", counts), ("AT_ONCE", at_once), ("LISTED", listed)):
+            monkeypatch.setattr(C.Shared, name, n)
+        assert sorted(map(tuple, C.shared_communities(df, "g", "v").collect())) == wanted
+    assert sorted(map(tuple, C.shared_communities(df, "g", "v", small=0).collect())) == wanted
+    assert C.shared_communities(df.limit(0), "g", "v").count() == 0
+    few = C.shared_communities(df.filter("v < 100"), "g", "v", gamma=1.5, seed=7, levels=1)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, C.communities(G.coread(df.filter("v < 100"), "g", "v"), gamma=1.5, seed=7, levels=1).collect()))
+
+
+def test_customers_communities_list_no_pairs(spark, monkeypatch):
+    from loomgraph.evidence_queries import e_communities
+
+    monkeypatch.setattr(G, "coread", lambda *a: 1 / 0)
+    monkeypatch.setattr(C, "coread", lambda *a: 1 / 0, raising=False)
+    assert e_communities(spark, "/root/testdata/sf0.001").count() > 20
