@@ -1,5 +1,6 @@
 """Communities, streams and odd rows of the evidence operators."""
 
+import collections
 import datetime
 import itertools
 
@@ -114,3 +115,14 @@ def test_customers_communities_list_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(G, "coread", lambda *a: 1 / 0)
     monkeypatch.setattr(C, "coread", lambda *a: 1 / 0, raising=False)
     assert e_communities(spark, "/root/testdata/sf0.001").count() > 20
+
+
+def test_group_sizes_list_no_pairs(spark, monkeypatch):
+    from loomgraph.evidence_queries import e_communities
+    from loomgraph.source_queries import e_groups
+
+    d = "/root/testdata/sf0.001"
+    sizes = collections.Counter(collections.Counter(r["community"] for r in e_communities(spark, d).collect()).values())
+    monkeypatch.setattr(G, "coread", lambda *a: 1 / 0)
+    monkeypatch.setattr(C, "coread", lambda *a: 1 / 0, raising=False)
+    assert collections.Counter(r["n"] for r in e_groups(spark, d).collect()) == {n: k for n, k in sizes.items() if n > 1}
