@@ -109,6 +109,50 @@ def test_communities_of_shared_groups_are_those_of_their_pairs(spark, monkeypatc
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, C.communities(G.coread(df.filter("v < 100"), "g", "v"), gamma=1.5, seed=7, levels=1).collect()))
 
 
+def test_communities_of_alike_nodes_and_weights_are_those_of_their_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    first = [(int(g), int(v)) for v in range(120) for g in rng.integers(0, 12, 3) * 5 + v % 5]
+    rows = [(g, v + 1000 * i) for g, v in first for i in range(1 + v % 7)] + [(g, 9000 + g) for g in range(0, 60, 7)]
+    df = spark.createDataFrame(rows, "g int, v int")
+    wanted = sorted(map(tuple, C.communities(G.coread(df, "g", "v")).collect()))
+    assert 2 < len({c for _, c in wanted}) < 60
+    for counts, at_once, listed in ((10**6, 10**6, 10**3), (10**6, 50, 0), (0, 50, 0), (0, 10**6, 9)):
+        for name, n in (("COUNTS", counts), ("AT_ONCE", at_once), ("LISTED", listed)):
+            monkeypatch.setattr(C.Shared, name, n)
+        assert sorted(map(tuple, C.shared_communities(df, "g", "v").collect())) == wanted
+
+
+def test_alike_customers_are_worked_out_once(monkeypatch):
+    rng, met, inner = np.random.default_rng(6), [], C.gathered
+    first = sorted({(int(g), int(v)) for v in range(200) for g in rng.integers(0, 50, 4)})
+    group, node = (np.array(v) for v in zip(*((g, 30 * v + i) for g, v in first for i in range(30)), strict=True))
+    monkeypatch.setattr(C.Shared, "COUNTS", 0)
+    monkeypatch.setattr(C, "gathered", lambda key, n: met.append(len(key)) or inner(key, n))
+    graph = C.Shared(list(range(6000)), group, node, np.ones(len(node), np.int32), 1.0, 42)
+    n, to, _ = graph.offers(np.arange(6000), np.ones(6000, bool))
+    assert len(n) == 6000 and (n // 30 == to // 30).all()
+    assert sum(met) < (np.bincount(group) ** 2).sum() / 10
+
+
+def test_nodes_that_surely_stay_are_not_asked_again(monkeypatch):
+    rng = np.random.default_rng(9)
+    group, node = np.array(sorted({(int(g), v) for v in range(900) for g in rng.integers(0, 40, 4) * 5 + v % 5})).T
+    asked, inner = [], C.Shared.best
+    monkeypatch.setattr(C.Shared, "LISTED", 0)
+    graph = C.Shared(list(range(900)), group, node, np.ones(len(node), np.int32), 1.0, 42)
+    at = graph.moves()
+    monkeypatch.setattr(C.Shared, "best", lambda *a: asked.append(len(a[1])) or inner(*a))
+    for c in (at, at, np.where(np.arange(900) < 3, at[899], at)):
+        every = np.ones(900, bool)
+        known = graph.offers(c, every)
+        fresh = C.Shared(list(range(900)), group, node, np.ones(len(node), np.int32), 1.0, 42)
+        before, got = len(asked), fresh.offers(c, every)
+        assert all((x == y).all() for x, y in zip(known, got, strict=True))
+        assert sum(asked[before:]) > 800
+        del asked[before:]
+    assert sum(asked) < 900
+
+
 def test_customers_communities_list_no_pairs(spark, monkeypatch):
     from loomgraph.evidence_queries import e_communities
 
