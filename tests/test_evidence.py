@@ -170,3 +170,18 @@ def test_group_sizes_list_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(G, "coread", lambda *a: 1 / 0)
     monkeypatch.setattr(C, "coread", lambda *a: 1 / 0, raising=False)
     assert collections.Counter(r["n"] for r in e_groups(spark, d).collect()) == {n: k for n, k in sizes.items() if n > 1}
+
+
+def test_group_sizes_of_alike_customers_are_worked_out_once(spark, monkeypatch, tmp_path):
+    from loomgraph.source_queries import e_groups
+
+    o = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").crossJoin(spark.range(20))
+    o.withColumn("o_custkey", F.col("o_custkey") + 1000 * F.col("id")).drop("id").write.parquet(f"{tmp_path}/orders.parquet")
+    met, inner = [], C.gathered
+    monkeypatch.setattr(C.Shared, "COUNTS", 0)
+    monkeypatch.setattr(C, "gathered", lambda key, n: met.append(len(key)) or inner(key, n))
+    rows = e_groups(spark, str(tmp_path)).collect()
+    customers = o.select("o_custkey").distinct().count()
+    assert sum(r["n"] for r in rows) == 20 * customers and all(r["n"] % 20 == 0 for r in rows)
+    pairs = o.groupBy(F.to_date("o_orderdate"), "o_orderpriority").agg((F.count("*") ** 2).alias("n")).agg(F.sum("n")).first()[0]
+    assert sum(met) < pairs
